@@ -7,11 +7,11 @@ rows are compared only in leaves whose digests differ.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.engine.scale import broadcast_if_small
+from tidemark.engine.session import ensure_checkpoint_dir
 
 
 def _digests(rows: DataFrame, group: list[str], child: list[str]) -> DataFrame:
@@ -61,7 +61,9 @@ def merkle_diff(
     value counts (repeats that agree are harmless).
 
     ``fanout ** depth`` leaves should give tens to thousands of keys a leaf. The hot group is
-    spread over its leaves; digests of all levels are computed by partial aggregation.
+    spread over its leaves; digests of all levels are computed by partial aggregation. The rows
+    of the compared snapshots, the leaves' digests and the differing nodes of each level are
+    checkpointed, so that a level's plan doesn't hold all plans above it.
     """
     leaves = fanout**depth
     w = Window.partitionBy(*group).orderBy(order, snapshot)
@@ -76,25 +78,25 @@ def merkle_diff(
         .withColumn("leaf", F.pmod(F.xxhash64("k"), F.lit(leaves)))
         .groupBy(*group, "seq", "leaf", "k")
         .agg(F.max("v").alias("v"))
-        .persist(StorageLevel.MEMORY_AND_DISK)  # read by the digests and twice by the row diff
     )
+    ensure_checkpoint_dir(rows.sparkSession)
+    held = held.checkpoint()  # read by the digests and twice by the row diff
     # bottom-up: leaves from rows, parents from children
-    level = _digests(held.withColumn("node", F.col("leaf")), [*group, "seq", "node"], ["k", "v"])
+    level = _digests(held.withColumn("node", F.col("leaf")), [*group, "seq", "node"], ["k", "v"]).checkpoint()
     levels = [level]
     for _ in range(depth):
         parent = level.withColumn("child", F.col("node")).withColumn("node", F.floor(F.col("node") / fanout))
         level = _digests(parent, [*group, "seq", "node"], ["child", "dx", "ds", "dn"])
         levels.append(level)
-    levels = [x.persist(StorageLevel.MEMORY_AND_DISK) for x in levels]  # ever smaller, read twice each
     # top-down: only children of differing nodes are compared at the next level
-    differing = _differing(levels[-1], group, last_seq).persist(StorageLevel.MEMORY_AND_DISK)
+    differing = _differing(levels[-1], group, last_seq).checkpoint()
     for nodes in reversed(levels[:-1]):
         parents = differing.withColumnRenamed("node", "parent")
         below = nodes.withColumn("parent", F.floor(F.col("node") / fanout))
         wanted = parents.unionByName(parents.withColumn("seq", F.col("seq") - 1)).distinct()
         differing = _differing(below.join(wanted, [*group, "seq", "parent"], "left_semi"), group, last_seq).withColumn(
             "parent", F.floor(F.col("node") / fanout)
-        ).join(parents, [*group, "seq", "parent"], "left_semi").drop("parent").persist(StorageLevel.MEMORY_AND_DISK)
+        ).join(parents, [*group, "seq", "parent"], "left_semi").drop("parent").checkpoint()
 
     leaf_pairs = differing.withColumnRenamed("node", "leaf")
     cur = held.join(leaf_pairs, [*group, "seq", "leaf"], "left_semi").withColumn("side", F.lit(1))
