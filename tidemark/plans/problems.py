@@ -95,9 +95,9 @@ with cur as (
   qualify row_number() over (partition by player_key, fixture_key order by available_at desc) = 1),
 v as (
   select player_key, fixture_key, team_key, minutes,
-    case when us_npxg between 0 and 5 then us_npxg end a,
-    case when us_xa between 0 and 5 then us_xa end b,
-    case when fpl_xg between 0 and 5 then fpl_xg end c from cur),
+    case when us_npxg between 0 and 5 and not isnan(us_npxg) then us_npxg end a,
+    case when us_xa between 0 and 5 and not isnan(us_xa) then us_xa end b,
+    case when fpl_xg between 0 and 5 and not isnan(fpl_xg) then fpl_xg end c from cur),
 side as (select fixture_key, team_key, max(a) = 0 za, max(b) = 0 zb, max(c) = 0 zc from v group by all),
 j as (select v.*, za, zb, zc from v join side using (fixture_key, team_key) where minutes > 0)
 select player_key, fixture_key, 'us_npxg' as field from j where a is null or za
@@ -131,7 +131,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return player_history(spark, sf_dir).select(
         "player_key", "now_cost", "status", "chance_of_playing_next_round",
-        F.timestamp_micros("valid_from_us").alias("valid_from"), F.timestamp_micros("valid_to_us").alias("valid_to"),
+        "valid_from_us", "valid_to_us",
         F.col("valid_to_us").isNull().alias("is_current"),
     )
 
@@ -152,7 +152,7 @@ h as (select v.*, i.nxt b2 from v join inst i on i.k = v.kl)
 """
 P2_SQL = _P2_CTE + "select player_key, epoch_us(a) as valid_from_us, coalesce(epoch_us(b2), 0) as valid_to_us from h"
 P2_HISTORY_SQL = _P2_CTE + (
-    "select player_key, now_cost, status, ch as chance_of_playing_next_round, a as valid_from, b2 as valid_to,"
+    "select player_key, now_cost, status, ch as chance_of_playing_next_round, epoch_us(a) as valid_from_us, epoch_us(b2) as valid_to_us,"
     " b2 is null as is_current from h"
 )
 
@@ -282,7 +282,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every player and day with totals and averages, days without a match included."""
     t = trailing_totals(daily_minutes(spark, sf_dir), "player_key", "day", ["minutes", "starts"], [7, 30])
-    return t.withColumn("day", F.date_from_unix_date("day"))
+    return t.withColumn("day", F.date_format(F.date_from_unix_date("day"), "yyyy-MM-dd"))
 
 
 _P6_CTE = """
@@ -299,7 +299,7 @@ P6_SQL = _P6_CTE + (
     " from t where m7 >= 225"
 )
 P6_ROLLING_SQL = _P6_CTE + (
-    "select player_key, d as day, cast(m7 as bigint) as minutes_7d, cast(m30 as bigint) as minutes_30d,"
+    "select player_key, strftime(d, '%Y-%m-%d') as day, cast(m7 as bigint) as minutes_7d, cast(m30 as bigint) as minutes_30d,"
     " cast(s7 as bigint) as starts_7d, cast(s30 as bigint) as starts_30d, m7 / 7 as minutes_avg_7d, m30 / 30 as minutes_avg_30d,"
     " s7 / 7 as starts_avg_7d, s30 / 30 as starts_avg_30d from t"
 )
