@@ -210,25 +210,32 @@ def segments(text: str, names: NameModel) -> list[Segment]:
     return out
 
 
+def _triples(text: str) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
+    """(word before, up to three words from here on) for every word, holding only a few at a time."""
+    window: list[tuple[int, int, str]] = []
+    before = ""
+    for m in WORD.finditer(text):
+        window.append((m.start(), m.end(), m.group()))
+        if len(window) == 3:
+            yield before, window
+            before = window.pop(0)[2]
+    while len(window) > 1:
+        yield before, window
+        before = window.pop(0)[2]
+
+
 def _name_segments(text: str, names: NameModel, add) -> None:
     score = names.score
-    prev = None  # (start, end, word) of the word before
-    ahead: list[tuple[int, int, str]] = [(m.start(), m.end(), m.group()) for m in WORD.finditer(text)]
-    n = len(ahead)
-    for i in range(n - 1):
-        s, e, w = ahead[i]
+    for before, ahead in _triples(text):
+        s, e, w = ahead[0]
         if len(w) < 2:
             continue
-        for j in (i + 1, i + 2):
-            if j >= n:
-                break
+        for j in range(1, len(ahead)):
             s2, e2, w2 = ahead[j]
-            if s2 - e > 5:
-                break
-            if j == i + 2 and ahead[i + 1][1] - ahead[i + 1][0] != 1:
+            if s2 - e > 5 or (j == 2 and ahead[1][1] - ahead[1][0] != 1):
                 break
             link = _LINK.match(text[e:s2])
-            if not link or (j == i + 2) != bool(link.group(1)) or len(w2) < 2:
+            if not link or (j == 2) != bool(link.group(1)) or len(w2) < 2:
                 continue
             cap = w[0].isupper() and w2[0].isupper()
             if w[0].isupper() != w2[0].isupper():  # a name is capitalised or it isn't
@@ -239,14 +246,11 @@ def _name_segments(text: str, names: NameModel, add) -> None:
             likely = g > 0.3 and f > 0.3
             if not (likely or (cap and (g > -0.2 or f > -0.2))):
                 continue
-            case = "upper" if w.isupper() and w2.isupper() else ("lower" if w.islower() and w2.islower() else ("cap" if cap else "mixed"))
-            both = f"{_bin(g)}/{_bin(f)}"
-            fs = [f"g={_bin(g)}", f"f={_bin(f)}", f"like={both}", f"case={case}", f"like_case={likely}/{case}", f"swapped={swapped}/{likely}",
-                  f"initial={bool(link.group(1))}/{likely}", f"first={fold(w)}", f"last={fold(w2)}", f"line={'\n' in text[e:s2]}/{likely}"]
-            if prev:
-                fs.append(f"same_word_before={fold(prev) == fold(w)}")
+            case = "upper" if w.isupper() and w2.isupper() else ("lower" if w.islower() and w2.islower() else "cap")
+            fs = [f"g={_bin(g)}", f"f={_bin(f)}", f"like={_bin(g)}/{_bin(f)}", f"case={case}", f"like_case={likely}/{case}",
+                  f"swapped={swapped}/{likely}", f"initial={bool(link.group(1))}/{likely}", f"first={fold(w)}", f"last={fold(w2)}",
+                  f"line={'\n' in text[e:s2]}/{likely}", f"same_word_before={fold(before) == fold(w)}"]
             add(s, e2, "name", fs)
-        prev = w
 
 
 def chosen(cands: list[Segment], weights: dict[str, float]) -> list[Segment]:
