@@ -27,7 +27,8 @@ def asof_join(
     rows at the same time the greatest by ``tie`` (default: ``columns``) counts. Every left row
     comes out once (a left join); left rows with a NULL key or time and rows without a match get
     NULLs. Repeated left rows are kept. Columns of the result are the left's and
-    ``columns`` + ``suffix``; other right columns don't matter, whatever their names.
+    ``columns`` + ``suffix``, which replace left columns of the same name; other right columns
+    don't matter, whatever their names.
 
     Skew: rows of one key are sorted in one task (with spilling); for keys that may hold a
     third of the data put a time bucket into ``by``, as event_attributes does.
@@ -73,7 +74,7 @@ def asof_join(
         gap = F.col("__t") - F.col("__hit.__rt") if back else F.col("__hit.__rt") - F.col("__t")
         ok = ok & (gap <= tolerance)
     return out.select(
-        *[F.col(f"__left.`{c}`").alias(c) for c in left.columns],
+        *[F.col(f"__left.`{c}`").alias(c) for c in left.columns if c not in {f"{x}{suffix}" for x in columns}],
         *[F.when(ok, F.col(f"__hit.__c{i}")).alias(f"{c}{suffix}") for i, c in enumerate(columns)],
     )
 

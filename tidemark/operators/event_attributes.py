@@ -33,7 +33,8 @@ def attributes_at_event(
     whatever else, which is kept. A reading is valid for event times in
     [known_us + 1, next change + 1). Events without a known reading are left out, as are events
     and readings with NULL in an entity column, time or rank. Repeated events are kept as they
-    are. Result: the event's columns, ``rank``, ``known_us`` and ``value``.
+    are. Result: the event's columns, ``rank``, ``known_us`` and ``value`` (an event's own columns of
+    these three names give way). Column names that begin with two underscores are reserved.
     """
     r = readings.select(
         *entity,
@@ -71,7 +72,7 @@ def attributes_at_event(
         (F.col(at_us) >= F.col("__from")) & (F.col("__to").isNull() | (F.col(at_us) < F.col("__to")))
     )
     return joined.select(
-        *[joined[f"`{c}`"] for c in events.columns],
+        *[joined[f"`{c}`"] for c in events.columns if c not in (rank, known_us, value)],
         F.col("__seen.__rank").alias(rank),
         (F.col("__seen.__known") - 1).alias(known_us),
         F.col("__seen.__value").alias(value),

@@ -47,30 +47,30 @@ def trailing_totals(
     if halo > tile:
         raise ValueError("the longest window must fit into one preceding tile")
     rows = daily.filter(F.col(entity).isNotNull() & F.col(day).isNotNull()).select(
-        F.col(entity).alias("e"), F.col(day).cast("int").alias("d"), *[F.col(v).cast("long").alias(v) for v in values]
+        F.col(entity).alias("__e"), F.col(day).cast("int").alias("__d"), *[F.col(v).cast("long").alias(v) for v in values]
     )
-    n = rows.agg(F.approx_count_distinct("e", 0.02).alias("n")).first().n or 0
+    n = rows.agg(F.approx_count_distinct("__e", 0.02).alias("n")).first().n or 0
     blocks = max(1, -(-n // entities_per_block))
-    span = rows.groupBy("e").agg(F.min("d").alias("d0"), F.max("d").alias("d1"))
-    own = F.floor(F.col("d") / tile).cast("int")
-    last = F.floor((F.col("d") + halo) / tile).cast("int")
-    tiles = rows.withColumn("t", F.explode(F.sequence(own, last)))
+    span = rows.groupBy("__e").agg(F.min("__d").alias("__d0"), F.max("__d").alias("__d1"))
+    own = F.floor(F.col("__d") / tile).cast("int")
+    last = F.floor((F.col("__d") + halo) / tile).cast("int")
+    tiles = rows.withColumn("__t", F.explode(F.sequence(own, last)))
     if at_least is None:  # tiles without any activity hold rows of zeros, too
         gaps = span.select(
-            "e",
-            F.lit(None).cast("int").alias("d"),
+            "__e",
+            F.lit(None).cast("int").alias("__d"),
             *[F.lit(None).cast("long").alias(v) for v in values],
             F.explode(
-                F.sequence(F.floor(F.col("d0") / tile).cast("int"), F.floor((F.col("d1") + halo) / tile).cast("int"))
-            ).alias("t"),
+                F.sequence(F.floor(F.col("__d0") / tile).cast("int"), F.floor((F.col("__d1") + halo) / tile).cast("int"))
+            ).alias("__t"),
         )
         tiles = tiles.unionByName(gaps)
     elif not at_least[2] > 0:
         raise ValueError("at_least needs a positive threshold")
-    tiles = tiles.join(span, "e") if at_least is None else tiles.withColumn("d0", F.lit(-(2**31))).withColumn("d1", F.lit(2**31 - 1 - halo))
-    tiles = tiles.withColumn("b", F.pmod(F.xxhash64("e"), F.lit(blocks)).cast("int"))
+    tiles = tiles.join(span, "__e") if at_least is None else tiles.withColumn("__d0", F.lit(-(2**31))).withColumn("__d1", F.lit(2**31 - 1 - halo))
+    tiles = tiles.withColumn("__b", F.pmod(F.xxhash64("__e"), F.lit(blocks)).cast("int"))
     schema = T.StructType(
-        [T.StructField("e", daily.schema[entity].dataType), T.StructField("d", T.IntegerType())]
+        [T.StructField("__e", daily.schema[entity].dataType), T.StructField("__d", T.IntegerType())]
         + [T.StructField(f"{v}_{w}d", T.LongType()) for v in values for w in windows]
         + [T.StructField(f"{v}_avg_{w}d", T.DoubleType()) for v in values for w in windows]
     )
@@ -78,10 +78,10 @@ def trailing_totals(
 
     def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(key[1])
-        codes, names = pd.factorize(pdf["e"])
+        codes, names = pd.factorize(pdf["__e"])
         start = t * tile - halo
-        has = pdf["d"].notna().to_numpy()
-        r, c = codes[has], (pdf["d"].to_numpy(dtype=float)[has]).astype(np.int64) - start
+        has = pdf["__d"].notna().to_numpy()
+        r, c = codes[has], (pdf["__d"].to_numpy(dtype=float)[has]).astype(np.int64) - start
         out: dict = {}
         for v in values:
             x = pdf[v].fillna(0).to_numpy(dtype=np.int64)[has]
@@ -93,16 +93,16 @@ def trailing_totals(
         days = t * tile + np.arange(tile)
         lo = np.full(len(names), 2**31, dtype=np.int64)
         hi = np.full(len(names), -(2**31), dtype=np.int64)
-        np.minimum.at(lo, codes, pdf["d0"].to_numpy(dtype=np.int64))
-        np.maximum.at(hi, codes, pdf["d1"].to_numpy(dtype=np.int64))
+        np.minimum.at(lo, codes, pdf["__d0"].to_numpy(dtype=np.int64))
+        np.maximum.at(hi, codes, pdf["__d1"].to_numpy(dtype=np.int64))
         keep = (days[None, :] >= lo[:, None]) & (days[None, :] <= hi[:, None] + halo)
         if at_least is not None:
             keep &= out[at_least[0], at_least[1]] >= at_least[2]
         i, j = np.nonzero(keep)
-        res = {"e": names.to_numpy()[i] if hasattr(names, "to_numpy") else np.asarray(names)[i], "d": days[j].astype(np.int32)}
+        res = {"__e": names.to_numpy()[i] if hasattr(names, "to_numpy") else np.asarray(names)[i], "__d": days[j].astype(np.int32)}
         res |= {f"{v}_{w}d": out[v, w][i, j] for v in values for w in windows}
         res |= {f"{v}_avg_{w}d": out[v, w][i, j] / w for v in values for w in windows}
         return pd.DataFrame(res)
 
-    done = tiles.groupBy("b", "t").applyInPandas(block, schema)
-    return done.withColumnRenamed("e", entity).withColumnRenamed("d", day)
+    done = tiles.groupBy("__b", "__t").applyInPandas(block, schema)
+    return done.withColumnRenamed("__e", entity).withColumnRenamed("__d", day)
