@@ -53,3 +53,15 @@ def sequence_index(values: DataFrame, at: str, day_us: int = 86_400_000_000) ->
     return v.join(by_day, "day").select(
         "at_us", (F.col("before") + F.col("r") - 1).alias("k"), F.coalesce("n_us", "next_day_us").alias("next_us")
     )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for work that is heavy per row.
+
+    A table of few row groups is read by few tasks; only then are its rows (small, as it has few
+    groups) dealt out. With enough partitions nothing is shuffled.
+    """
+    sc = df.sparkSession.sparkContext
+    cores = max(sc.defaultParallelism, 1)
+    have = df.rdd.getNumPartitions()
+    return df if have >= cores else df.repartition(cores)
