@@ -19,7 +19,7 @@ def test_counts_labels_and_pieces(spark, rows):
     d = spark.createDataFrame([(1, " Forum-Thread", "hello world"), (2, None, None), (3, "x", "")], "doc_id long, label string, text string")
     c = M.count_tokens(d)
     assert rows(c, "doc_id", "tokens") == [(1, 2), (2, 0), (3, 0)]
-    assert rows(d.select(M.label_key(F.col("label")).alias("k"))) == [("forum_thread",), ("x",), (None,)]
+    assert rows(d.select(M.label_key(F.col("label")).alias("k"))) == [("forumthread",), ("x",), (None,)]
     text = "ab cd\n" * 20_000 + "z" * 50_000
     assert "".join(M.pieces(text)) == text and max(map(len, M.pieces(text))) <= M.PIECE
 

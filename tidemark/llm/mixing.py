@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.engine.scale import broadcast_if_small
+from tidemark.engine.scale import broadcast_if_small, spread
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Longest piece handed to the tokenizer at once; longer texts are cut at white space.
@@ -65,12 +65,17 @@ def count_tokens(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataF
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "tokens": n})
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label string, tokens long"
-    return docs.select("doc_id", "label", "text").mapInPandas(run, schema)
+    return spread(docs.select("doc_id", "label", "text")).mapInPandas(run, schema)
 
 
 def label_key(c: Column) -> Column:
-    """A source label without case, outer blanks and kind of separator."""
-    return F.regexp_replace(F.lower(F.trim(c)), r"[\s_\-./]+", "_")
+    """A source label without case, blanks and separators, so that all spellings meet."""
+    return F.regexp_replace(F.lower(c), r"[\s\p{Punct}\u00a0]+", "")
+
+
+def plain_key(label: str) -> str:
+    """Python twin of label_key."""
+    return re.sub(r"[\s!-/:-@\[-`{-~]+", "", label.lower())
 
 
 def bisect(f: Callable[[float], bool], lo: float, hi: float, steps: int = 60) -> float:
@@ -179,7 +184,7 @@ def realise(counts: DataFrame, plan: list[Source], block_tokens: int = 200_000,
     rows = []
     for s in plan:
         full, rest = divmod(s.budget, s.tokens) if s.tokens else (0, 0)
-        rows.append((re.sub(r"[\s_\-./]+", "_", s.source.strip().lower()), s.source, int(full), int(rest), max(1, -(-s.tokens // block_tokens))))
+        rows.append((plain_key(s.source), s.source, int(full), int(rest), max(1, -(-s.tokens // block_tokens))))
     p = F.broadcast(spark.createDataFrame(rows, "key string, source string, full long, rest long, blocks long"))
     d = counts.filter("tokens > 0 and doc_id is not null").withColumn("key", label_key(F.col("label"))).join(p, "key")
     d = d.withColumn("hb", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.engine.scale import broadcast_if_small
+from tidemark.engine.scale import broadcast_if_small, spread
 
 #: Longest segment, in characters and words.
 MAX_CHARS, MAX_WORDS = 160, 20
@@ -371,7 +371,7 @@ def find_spans(documents: DataFrame, model: Model) -> DataFrame:
             ]
             yield pd.DataFrame(got, columns=[c.split()[0] for c in SPANS.split(", ")])
 
-    return documents.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInPandas(run, SPANS)
+    return spread(documents.select("doc_id", "text").filter("doc_id is not null and text is not null")).mapInPandas(run, SPANS)
 
 
 def folded(c: Column) -> Column:
