@@ -176,3 +176,46 @@ def test_statistics(spark):
     assert a == pytest.approx(1, abs=0.25) and c == pytest.approx(0, abs=0.2)
     iso = St.isotonic(p, "p", "y", 10)
     assert all(u[1] <= v[1] for u, v in itertools.pairwise(iso)) and St.isotonic(p.filter("false"), "p", "y") == []
+
+
+def test_market_rates_recover_known_rates(spark):
+    from tidemark.functions.market import implied, market_rates, solve
+
+    lh, la = np.array([0.6, 1.4, 2.8]), np.array([1.9, 1.1, 0.5])
+    x, r = solve(implied(lh, la))
+    assert np.exp(x) == pytest.approx(np.stack([lh, la], axis=1), rel=1e-3) and r.max() < 1e-5
+    df = spark.createDataFrame([(0.5, 0.25, 0.25, None), (None, 0.3, 0.3, 0.5)], "h double, d double, a double, o double")
+    got = [row.r for row in df.select(market_rates("h", "d", "a", "o").alias("r")).collect()]
+    assert got[0].home > got[0].away > 0 and (got[1].home is None or math.isnan(got[1].home))
+
+
+def test_resolver_rollup_contribution_and_takers(spark, rows):
+    df = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, h long")
+    m = spark.createDataFrame([("a", 10), ("b", 20)], "k string, id long")
+    assert rows(R.resolve(df, m, ["k"], "id"), "h", "id") == [(1, 10), (2, 20), (3, None)]
+    with pytest.raises(LookupError):
+        R.resolve(df, m.filter("k = 'a'"), ["k"], "id")
+    with pytest.raises(R.CardinalityError):
+        R.resolve(df, m.unionByName(m), ["k"], "id")
+    assert rows(R.pooled_rollup(df, "h", {"2+": F.col("h") >= 2}, [F.count("*").alias("n")])) == [("1", 1), ("2", 1), ("2+", 2), ("3", 1)]
+    c = rows(R.contribution(spark.createDataFrame([("x", 1.0), ("x", 3.0), ("y", -1.0), ("y", None)], "g string, d double"), ["g"], "d"))
+    assert c == [("x", 2, 2.0, pytest.approx(4 / 3)), ("y", 1, -1.0, pytest.approx(-1 / 3))]
+    t = spark.createDataFrame([("g", 1, 0.5, 1.0), ("g", 2, 0.4, 0.5), ("g", 3, None, 1.0)], "g string, r long, q double, on double")
+    assert [r[1] for r in rows(R.ranked_takers(t, ["g"], "r", "q", "on"), "r", "p")] == [0.5, pytest.approx(0.1), 0.0]
+
+
+def test_hash_noise_is_reproducible_and_normal(spark):
+    from tidemark.functions.random import hash_normal, hash_uniform
+
+    df = spark.range(20_000).select("id", hash_normal(3, "id").alias("z"), hash_uniform(3, "id").alias("u"))
+    s = df.agg(F.avg("z"), F.stddev("z"), F.avg("u"), F.min("u"), F.max("u")).first()
+    assert abs(s[0]) < 0.03 and abs(s[1] - 1) < 0.03 and abs(s[2] - 0.5) < 0.01 and 0 < s[3] and s[4] < 1
+    assert df.orderBy("id").limit(5).collect() == df.repartition(7).orderBy("id").limit(5).collect()
+
+
+def test_null_size_is_near_its_level(spark):
+    rnd = random.Random(8)
+    cells = spark.createDataFrame([(g, i, rnd.gauss(0, 1)) for g in range(5) for i in range(24)], "g long, i long, v double")
+    got = {r.alpha: r.rejected for r in St.null_size(cells, "g", "i", "v", 4, [0.05, 0.2], 600, 1).collect()}
+    assert 0.01 < got[0.05] < 0.12 and 0.1 < got[0.2] < 0.3
+    assert St.t_sf(St.t_critical(0.05, 7), 7) == pytest.approx(0.05, abs=1e-9)

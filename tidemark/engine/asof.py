@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.engine.catalog import Catalog
+from tidemark.engine.scale import one_row
 
 PREFERRED_SOURCE = "fpl"
 
@@ -90,11 +91,10 @@ class AsOfView:
     def with_fallback(self, name: str, fallback: str, season: int, columns: list[str], at: str = "snapshot_at") -> DataFrame:
         """The newest whole snapshot of a season if one is visible, else the season's rows of ``fallback``."""
         snaps = self._visible(name).filter(F.col("season") == season)
-        newest = snaps.agg(F.max(at).alias("__at"))  # one row
-        chosen = snaps.join(F.broadcast(newest), F.col(at) == F.col("__at")).select(*columns)
+        newest = one_row(snaps.agg(F.max(at).alias("at")))["at"]
+        chosen = snaps.filter(F.col(at) == newest).select(*columns)
         other = self._visible(fallback).filter(F.col("season") == season).select(*columns)
-        none = F.broadcast(newest.filter("__at is null"))
-        return chosen.unionByName(other.join(none, how="cross").select(*columns))
+        return chosen.unionByName(other.filter(newest.isNull()))
 
     def gameweek_for_deadline(self) -> DataFrame:
         """The one gameweek whose deadline is this view's; anything but one raises."""

@@ -55,6 +55,11 @@ def sequence_index(values: DataFrame, at: str, day_us: int = 86_400_000_000) ->
     )
 
 
+def one_row(df: DataFrame) -> Column:
+    """The single row of an ungrouped aggregation as a struct column: a scalar subquery, no join."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")).scalar()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores, for work that is heavy per row.
 

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.engine.scale import one_row
+
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function (modified Lentz)."""
@@ -111,8 +113,8 @@ def block_bootstrap(
     pos = pos.withColumn("i", F.col("i") - 1)
     sizes = pos.groupBy("g").agg(F.count("*").alias("n"))
     reps = spark.range(n_boot).withColumnRenamed("id", "rep")
-    packed = F.broadcast(sizes.agg(F.collect_list(F.struct("g", "n")).alias("groups")))  # one row per group
-    draws = reps.join(packed, how="cross").select("rep", F.explode("groups").alias("s")).select("rep", "s.g", "s.n")
+    groups = one_row(sizes.agg(F.collect_list(F.struct("g", "n")).alias("groups")))["groups"]  # an entry per group
+    draws = reps.select("rep", F.explode(groups).alias("s")).select("rep", "s.g", "s.n")
     draws = draws.select("rep", "g", "n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1)).alias("k"))
     draws = draws.withColumn("start", F.pmod(F.xxhash64(F.lit(seed), "rep", "g", "k"), F.col("n")))
     draws = draws.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).filter(F.col("k") * block + F.col("o") < F.col("n"))
@@ -123,7 +125,7 @@ def block_bootstrap(
         F.percentile("m", F.lit(lo)).alias("ci_low"), F.percentile("m", F.lit(hi)).alias("ci_high"),
         F.avg((F.col("m") <= 0).cast("double")).alias("p_not_above_0"), F.count("*").alias("n_boot"),
     )
-    return pos.agg(F.avg("v").alias("mean")).join(F.broadcast(out), how="cross")
+    return out.select(one_row(pos.agg(F.avg("v").alias("mean")))["mean"].alias("mean"), *out.columns)
 
 
 def ols(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -143,8 +145,8 @@ def brier_parts(df: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
     """Reliability − resolution + uncertainty over equal-width bins: one row."""
     b = df.filter(F.col(p).isNotNull() & F.col(y).isNotNull()).withColumn("__b", F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)))
     g = b.groupBy("__b").agg(F.count("*").alias("n"), F.avg(p).alias("pm"), F.avg(y).alias("ym"))
-    t = g.agg(F.sum("n").alias("total"), (F.sum(F.col("n") * F.col("ym")) / F.sum("n")).alias("base"))  # one row
-    j = g.join(F.broadcast(t), how="cross")
+    t = one_row(g.agg(F.sum("n").alias("total"), (F.sum(F.col("n") * F.col("ym")) / F.sum("n")).alias("base")))
+    j = g.withColumn("total", t["total"]).withColumn("base", t["base"])
     return j.groupBy("total", "base").agg(
         (F.sum(F.col("n") * F.pow(F.col("pm") - F.col("ym"), 2)) / F.col("total")).alias("reliability"),
         (F.sum(F.col("n") * F.pow(F.col("ym") - F.col("base"), 2)) / F.col("total")).alias("resolution"),
@@ -252,3 +254,34 @@ def deflated_mean(mean: float, ci_low: float, ci_high: float, n_variants: int, z
     """Mean minus its standard error times √(2 ln N): the haircut for the best of N tries."""
     se = (ci_high - ci_low) / (2 * z)
     return mean - se * math.sqrt(2 * math.log(max(1, n_variants)))
+
+
+def t_critical(alpha: float, df: float) -> float:
+    """The t with upper tail ``alpha``."""
+    lo, hi = -1e3, 1e3
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if t_sf(mid, df) > alpha else (lo, mid)
+    return (lo + hi) / 2
+
+
+def null_size(cells: DataFrame, group: str, order: str, value: str, block: int, alphas: list[float], n_rep: int, seed: int = 0) -> DataFrame:
+    """Empirical size of the one-sided t-test on means of ``block``-cell windows when there is no effect.
+
+    Values are centred; each replicate flips the signs of whole windows by a hash, so that the
+    windows' dependence stays. Result: alpha, rejected (share of replicates), windows.
+    """
+    spark = cells.sparkSession
+    w = Window.partitionBy(group).orderBy(order)
+    x = cells.filter(F.col(value).isNotNull()).withColumn("__w", F.floor((F.row_number().over(w) - 1) / block))
+    wm = x.groupBy(F.col(group).alias("g"), "__w").agg(F.avg(value).alias("m"))
+    wm = wm.withColumn("m", F.col("m") - F.avg("m").over(Window.partitionBy()))  # one row per window
+    n = wm.count()
+    if n < 2:
+        return spark.createDataFrame([], "alpha double, rejected double, windows long")
+    windows = one_row(wm.agg(F.collect_list(F.struct("g", "__w", "m")).alias("ws")))["ws"]
+    reps = spark.range(n_rep).select(F.col("id").alias("rep"), F.explode(windows).alias("s"))
+    flip = F.when(F.pmod(F.xxhash64(F.lit(seed), "rep", "s.g", "s.__w"), F.lit(2)) == 0, 1).otherwise(-1)
+    t = reps.groupBy("rep").agg((F.avg(F.col("s.m") * flip) / (F.stddev_samp(F.col("s.m") * flip) / math.sqrt(n))).alias("t"))
+    parts = [F.struct(F.lit(a).alias("alpha"), F.avg((F.col("t") > t_critical(a, n - 1)).cast("double")).alias("rejected")) for a in alphas]
+    return t.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.alpha", "p.rejected", F.lit(n).cast("long").alias("windows"))

@@ -14,6 +14,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.engine.scale import one_row
+
 NONE = -1.0  # stands for an unused or missing determinant; determinants are non-negative
 
 
@@ -127,13 +129,8 @@ def fill_missing(
     order = [n for n, _, _ in good] + [n for n, lv in enumerate(levels) if lv.kind == "group"]
     rank = {n: i for i, n in enumerate(order)}
     last_weight = {lv.field: lv.weight for lv in levels if lv.kind == "group"}
-    overall = rows.agg(
-        *[
-            (F.sum(F.col(f)) / F.sum(F.when(F.col(f).isNotNull(), F.expr(last_weight.get(f) or "1.0").cast("double")))).alias(f"m_{i}")
-            for i, f in enumerate(fields)
-        ],
-        *[F.count(f).alias(f"n_{i}") for i, f in enumerate(fields)],
-    )  # one row
+    mean_of = lambda f: F.sum(F.col(f)) / F.sum(F.when(F.col(f).isNotNull(), F.expr(last_weight.get(f) or "1.0").cast("double")))
+    overall = one_row(rows.agg(F.array(*[mean_of(f) for f in fields]).alias("m"), F.array(*[F.count(f) for f in fields]).alias("n")))
     cells = rows.filter(needs).filter(" or ".join(f"`{f}` is null" for f in fields))
     cells = cells.select(
         "*",
@@ -167,9 +164,9 @@ def fill_missing(
     cond = on[0]
     for c in on[1:]:
         cond = cond & c
-    joined = all_cells.alias("a").join(best.alias("b"), cond, "left").crossJoin(F.broadcast(overall))
-    mean = F.coalesce(*[F.when(F.col("a.__i") == i, F.col(f"m_{i}")) for i in range(len(fields))])
-    count = F.coalesce(*[F.when(F.col("a.__i") == i, F.col(f"n_{i}")) for i in range(len(fields))])
+    joined = all_cells.alias("a").join(best.alias("b"), cond, "left")
+    mean = F.get(overall["m"], F.col("a.__i"))
+    count = F.get(overall["n"], F.col("a.__i"))
     names = F.array(*[F.lit(levels[n].name) for n in order]) if order else F.array().cast("array<string>")
     value = F.coalesce(F.col("b.__best.value"), mean * F.col("a.__w"))
     if bounds:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.engine.scale import one_row
+
 # ------------------------------------------------------------------ joins
 
 
@@ -47,9 +49,8 @@ def dense_grid(keys: DataFrame, axis: DataFrame, facts: DataFrame, on: list[str]
     rows = axis.distinct().limit(100_001).collect()
     if len(rows) > 100_000:
         raise ValueError("the axis of a dense grid is bounded at 100,000 values")
-    spark = keys.sparkSession
-    packed = F.broadcast(spark.createDataFrame(rows, axis.schema).agg(F.collect_list(F.struct(*names)).alias("__axis")))
-    grid = keys.join(packed, how="cross").select(*keys.columns, F.explode("__axis").alias("__a")).select(*keys.columns, "__a.*")
+    packed = one_row(keys.sparkSession.createDataFrame(rows, axis.schema).agg(F.collect_list(F.struct(*names)).alias("axis")))
+    grid = keys.withColumn("__a", F.explode(packed["axis"])).select(*keys.columns, "__a.*")
     return grid.join(facts, on, "left").na.fill(fill)
 
 
@@ -208,3 +209,41 @@ def compare_tables(a: DataFrame, b: DataFrame, keys: list[str], rtol: float = 1e
     alone = F.when(F.col("__b").isNull(), "only_a").when(F.col("__a").isNull(), "only_b")
     kinds.append(F.when(alone.isNotNull(), F.struct(F.lit("*").alias("column"), alone.alias("kind"))))
     return j.select(*keys, F.explode(F.array_compact(F.array(*kinds))).alias("d")).select(*keys, "d.column", "d.kind")
+
+
+def resolve(df: DataFrame, mapping: DataFrame, keys: list[str], result: str) -> DataFrame:
+    """Attach ``result`` of a mapping (keys, result); a key that the mapping lacks raises, named.
+
+    The check is an anti-join of distinct keys; NULL keys stay unresolved.
+    """
+    known = mapping.select(*keys, result)
+    assert_unique(known, keys, "mapping")
+    wanted = df.select(*keys).distinct()
+    for k in keys:
+        wanted = wanted.filter(F.col(k).isNotNull())
+    lost = wanted.join(known, keys, "left_anti").limit(10).collect()
+    if lost:
+        raise LookupError("unknown: " + ", ".join(str(tuple(r)) for r in lost))
+    return df.join(known, keys, "left")
+
+
+def pooled_rollup(df: DataFrame, label: str, pools: dict[str, Column], aggregates: list[Column]) -> DataFrame:
+    """Aggregates per value of ``label`` and over each named pool, in one aggregation (rows are
+    labelled with every pool they belong to)."""
+    names = [F.col(label).cast("string"), *[F.when(c, F.lit(n)) for n, c in pools.items()]]
+    x = df.withColumn("__label", F.explode(F.array_compact(F.array(*names))))
+    return x.groupBy(F.col("__label").alias(label)).agg(*aggregates)
+
+
+def contribution(df: DataFrame, by: list[str], diff: str) -> DataFrame:
+    """Per cell: rows, mean difference and its part of the overall mean (parts add up to it)."""
+    g = df.filter(F.col(diff).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.sum(diff).alias("s"))
+    g = g.withColumn("__n", one_row(g.agg(F.sum("n").alias("n")))["n"])
+    return g.select(*by, "n", (F.col("s") / F.col("n")).alias("mean"), (F.col("s") / F.col("__n")).alias("part"))
+
+
+def ranked_takers(df: DataFrame, by: list[str], rank: str, q: str, present: str, name: str = "p") -> DataFrame:
+    """P(this row acts) = q · present · Π over better ranks (1 − q · present), per group."""
+    w = Window.partitionBy(*by).orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)
+    x = F.coalesce(F.col(q) * F.col(present), F.lit(0.0))
+    return df.withColumn(name, x * F.coalesce(F.product(1 - x).over(w), F.lit(1.0)))

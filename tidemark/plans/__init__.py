@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["problems", "asof", "relational", "scalars", "statistics", "views", "streams", "sources", "models"]
+_MODULES = ["problems", "asof", "relational", "scalars", "statistics", "views", "streams", "sources", "models", "more"]
 
 
 def catalogue() -> dict:

@@ -65,6 +65,8 @@ def asof_narrowed(spark, d):
 def asof_gameweek_for_deadline(spark, d):
     cat = Catalog(spark, d)
     nxt = cat.load("gameweek").filter(F.col("deadline_time") > F.lit(CUT)).agg(F.min("deadline_time").alias("t")).first().t
+    if nxt is None:  # no later deadline
+        return cat.load("gameweek").select("gw", "gw_index").filter("false")
     deadline = nxt.astimezone(dt.UTC) if nxt.tzinfo else nxt.replace(tzinfo=dt.UTC)
     return AsOfView.at(cat, deadline, CUT).gameweek_for_deadline().select("gw", "gw_index")
 
@@ -102,7 +104,7 @@ def asof_corrupt_future_keeps_past(spark, d):
     return c.agg(F.count("*").alias("n"), F.sum(F.when(F.col("available_at") < F.lit(CUT), F.col("minutes"))).alias("minutes"))
 
 
-@query("select 'corrupted' as variant, 0 as leaks union all select 'truncated', 0")
+@query("select 'corrupted' as variant, 0::bigint as leaks union all select 'truncated', 0::bigint")
 def asof_leak_check(spark, d):
     """The leak checker over three registered views at two deadlines: no difference is expected."""
     cat = Catalog(spark, d, specs={s: Catalog(spark, d).specs[s] for s in ("player_match", "player_snapshot", "gameweek")})
@@ -116,7 +118,7 @@ def asof_leak_check(spark, d):
     return spark.createDataFrame(rows, "variant string, leaks long")
 
 
-@query("select count(*) as n, 1 as same from player_match")
+@query("select count(*) as n, 1::bigint as same from player_match")
 def asof_fingerprint(spark, d):
     """Equal content gives equal fingerprints whatever the row order."""
     pm = table(spark, d, "player_match")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.engine.scale import broadcast_if_small
+from tidemark.engine.scale import broadcast_if_small, one_row
 from tidemark.engine.session import micros, table
 from tidemark.operators import relational as R
 from tidemark.plans.registry import collector
@@ -157,7 +157,7 @@ select a.season, a.team_key, a.o as gw_order, count(distinct a.player_key) as ag
 def self_join_previous_order(spark, d):
     """Players of a side who also played in the previous round."""
     s = current_matches(spark, d).filter("minutes > 0").select("season", "team_key", "player_key", "gw")
-    g = s.select("season", "gw").distinct().withColumn("gw_order", F.dense_rank().over(Window.partitionBy("season").orderBy("gw")))
+    g = s.select("season", "gw").distinct().withColumn("gw_order", F.dense_rank().over(Window.partitionBy("season").orderBy("gw")).cast("long"))
     x = s.join(broadcast_if_small(g), ["season", "gw"]).select("season", "team_key", "player_key", "gw_order").distinct()
     prev = x.withColumn("gw_order", F.col("gw_order") + 1)
     return x.join(prev, ["season", "team_key", "player_key", "gw_order"], "left_semi").groupBy("season", "team_key", "gw_order").agg(F.count("*").alias("again"))
@@ -186,7 +186,7 @@ def join_next_n_events(spark, d):
     s = R.unpivot_sides(f, ["fixture_key", "season", "kickoff_time"], {"team_key": "home_team_key"}, {"team_key": "away_team_key"}).drop("is_home").distinct()
     j = b.join(s, ["team_key", "season"]).filter("kickoff_time > event_time")
     w = Window.partitionBy("ban_key").orderBy("kickoff_time", "fixture_key")
-    return j.withColumn("nth", F.row_number().over(w)).filter("nth <= n_certain").select("ban_key", "fixture_key", "nth")
+    return j.withColumn("nth", F.row_number().over(w).cast("long")).filter("nth <= n_certain").select("ban_key", "fixture_key", "nth")
 
 
 @query("select distinct f.fixture_key from fixture f where f.home_team_key not in (select team_key from team_dim) or f.away_team_key not in (select team_key from team_dim)")
@@ -391,19 +391,19 @@ def reconciliation(spark, d):
 def top_rows_per_group(spark, d):
     """The eleven with most minutes per side, ties by key."""
     w = Window.partitionBy("fixture_key", "team_key").orderBy(F.desc("minutes"), "player_key")
-    m = current_matches(spark, d).filter("minutes > 0").withColumn("rank", F.row_number().over(w))
+    m = current_matches(spark, d).filter("minutes > 0").withColumn("rank", F.row_number().over(w).cast("long"))
     return m.filter("rank <= 11").select("fixture_key", "player_key", "team_key", "rank")
 
 
 @query("select season, gw, dense_rank() over (partition by season order by gw) as gw_order from gameweek")
 def dense_rank_index(spark, d):
-    return table(spark, d, "gameweek").select("season", "gw", F.dense_rank().over(Window.partitionBy("season").orderBy("gw")).alias("gw_order"))
+    return table(spark, d, "gameweek").select("season", "gw", F.dense_rank().over(Window.partitionBy("season").orderBy("gw")).cast("long").alias("gw_order"))
 
 
 @query("select p_partkey, rank() over (partition by p_brand order by p_size desc) as rk, round(sum(p_retailprice) over (partition by p_brand) - p_retailprice, 4) as others from part")
 def rank_and_sum_of_others(spark, d):
     w = Window.partitionBy("p_brand")
-    return table(spark, d, "part").select("p_partkey", F.rank().over(w.orderBy(F.desc("p_size"))).alias("rk"), F.round(F.sum("p_retailprice").over(w) - F.col("p_retailprice"), 4).alias("others"))
+    return table(spark, d, "part").select("p_partkey", F.rank().over(w.orderBy(F.desc("p_size"))).cast("long").alias("rk"), F.round(F.sum("p_retailprice").over(w) - F.col("p_retailprice"), 4).alias("others"))
 
 
 @query("""select event_id, lag(event_type) over w as before_type, lead(event_type) over w as after_type, round(last_value(case when event_type = 'purchase' then value end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row), 6) as last_purchase,
@@ -436,7 +436,7 @@ select player_key, fixture_key, (i - 1 - l)::bigint as absent from y""")
 def absence_run_lengths(spark, d):
     """Gaps and islands: matches missed in a row just before each match."""
     m = current_matches(spark, d).select("player_key", "fixture_key", "kickoff_time", "minutes")
-    return R.absence_runs(m, ["player_key"], ["kickoff_time", "fixture_key"], F.coalesce(F.col("minutes"), F.lit(0)) == 0, "absent").select("player_key", "fixture_key", "absent")
+    return R.absence_runs(m, ["player_key"], ["kickoff_time", "fixture_key"], F.coalesce(F.col("minutes"), F.lit(0)) == 0, "absent").select("player_key", "fixture_key", F.col("absent").cast("long"))
 
 
 @query(f"""with {_CUR}, x as (select *, case when lag(team_key) over w is distinct from team_key then 1 else 0 end c from cur window w as (partition by player_key order by kickoff_time, fixture_key)),
@@ -474,9 +474,9 @@ select player_key, (c0 - c7)::bigint as change_7d, (c0 - c28)::bigint as change_
 def delta_vs_days_ago(spark, d):
     """Change against the newest reading at or before 7 and 28 days earlier: one conditional aggregation, no as-of joins."""
     s = table(spark, d, "player_snapshot").filter("season = 2022 and source = 'fplcache'").groupBy("snapshot_at", "player_key").agg(F.max_by("now_cost", "available_at").alias("now_cost"))
-    m = F.broadcast(s.agg(F.max("snapshot_at").alias("at")))  # one row
+    newest = one_row(s.agg(F.max("snapshot_at").alias("at")))
     back = lambda n: F.max_by("now_cost", F.when(F.col("snapshot_at") <= F.col("at") - F.expr(f"interval {n} day"), F.col("snapshot_at")))
-    g = s.join(m, how="cross").groupBy("player_key").agg(F.max_by("now_cost", "snapshot_at").alias("c0"), back(7).alias("c7"), back(28).alias("c28"))
+    g = s.withColumn("at", newest["at"]).groupBy("player_key").agg(F.max_by("now_cost", "snapshot_at").alias("c0"), back(7).alias("c7"), back(28).alias("c28"))
     return g.select("player_key", (F.col("c0") - F.col("c7")).alias("change_7d"), (F.col("c0") - F.col("c28")).alias("change_28d"))
 
 

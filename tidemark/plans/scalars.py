@@ -231,7 +231,7 @@ def map_per_group(spark, d):
     return maps.select("season", F.explode("m").alias("element_id", "player_key"))
 
 
-@query("select user_id, json_object('user', user_id, 'n', count(*), 'types', array_to_string(list_sort(list(distinct event_type)), ',')) as doc from events group by user_id")
+@query("select user_id, json_object('user', user_id, 'n', count(*), 'types', array_to_string(list_sort(list(distinct event_type)), ','))::varchar as doc from events group by user_id")
 def json_documents(spark, d):
     g = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("types"))
     return g.select("user_id", F.to_json(F.struct(F.col("user_id").alias("user"), "n", "types")).alias("doc"))

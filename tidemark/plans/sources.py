@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.engine.scale import one_row
 from tidemark.engine.session import ensure_checkpoint_dir, micros, table
 from tidemark.operators.snapdiff import complete_deliveries
 from tidemark.plans.registry import collector
@@ -141,7 +142,7 @@ def raw_store_entries(spark, d):
     e = RS.entries(spark, f"file://{root}", "feed")
     x = RS.read_json_elements(spark, f"file://{root}", "elements array<struct<id:long,name:string>>", "elements")
     n = x.agg(F.countDistinct("element.id").cast("int").alias("players"))
-    return e.groupBy("endpoint").agg(F.count("*").cast("int").alias("files")).join(F.broadcast(n), how="cross")
+    return e.groupBy("endpoint").agg(F.count("*").cast("int").alias("files")).withColumn("players", one_row(n)["players"])
 
 
 @query("select r_name as name, r_regionkey::bigint as key from region")

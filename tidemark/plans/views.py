@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.engine.asof import AsOfView
 from tidemark.engine.catalog import Catalog
-from tidemark.engine.scale import broadcast_if_small, current_rows
+from tidemark.engine.scale import broadcast_if_small, current_rows, one_row
 from tidemark.engine.session import micros, table
 from tidemark.operators import relational as R
 from tidemark.operators.asof_join import asof_join
@@ -44,7 +44,7 @@ def build_schedule(spark, d):
     """The final fixture list with results dropped and a dense round index."""
     cols = ["fixture_key", "season", "gw", "home_team_key", "away_team_key", "kickoff_time", "available_at"]
     f = current_rows(table(spark, d, "fixture").select(*cols), ["fixture_key"], [F.desc("available_at")]).filter("gw is not null")
-    rounds = f.select("season", "gw").distinct().withColumn("gw_order", F.dense_rank().over(Window.partitionBy("season").orderBy("gw")))
+    rounds = f.select("season", "gw").distinct().withColumn("gw_order", F.dense_rank().over(Window.partitionBy("season").orderBy("gw")).cast("long"))
     return f.join(broadcast_if_small(rounds), ["season", "gw"]).select("fixture_key", "season", "gw", "home_team_key", "away_team_key", micros("kickoff_time").alias("kickoff_us"), "gw_order")
 
 
@@ -117,8 +117,7 @@ def player_pool(spark, d):
     """Players in the newest whole list before the cutoff; the absent have left."""
     v = view(spark, d)
     s = v.table("player_snapshot", ["season", "player_key", "snapshot_at", "source", "available_at", "element_type", "team_key", "now_cost"]).filter("season = 2022")
-    newest = F.broadcast(s.agg(F.max("snapshot_at").alias("mat")))  # one row
-    s = s.join(newest, F.col("snapshot_at") == F.col("mat"))
+    s = s.filter(F.col("snapshot_at") == one_row(s.agg(F.max("snapshot_at").alias("at")))["at"])
     p = current_rows(s, ["player_key"], [F.desc(F.col("source") == "fpl"), F.desc("available_at")])
     return p.select("player_key", "element_type", "team_key", F.col("now_cost").alias("price"), "source")
 
