@@ -45,14 +45,15 @@ def attributes_at_event(
     bucket = lambda c: F.floor(F.col(c) / F.lit(bucket_us))
     r = r.withColumn("__b", bucket("__from"))
     e = events.filter(" and ".join(f"`{c}` is not null" for c in [*entity, at_us])).withColumn("__b", bucket(at_us))
-    last = e.agg(F.max("__b").alias("__last"))
+    last = e.groupBy(*entity).agg(F.max("__b").alias("__last"))
 
     # what is known by the end of each bucket, carried into the buckets up to the next one with readings
     best = r.groupBy(*entity, "__b").agg(F.max(F.struct("__rank", "__from", "__value")).alias("__best"))
     w = Window.partitionBy(*entity).orderBy("__b")
     best = best.withColumn("__best", F.max("__best").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    best = best.withColumn("__next", F.lead("__b").over(w)).crossJoin(F.broadcast(last))  # one row
-    best = best.withColumn("__upto", F.coalesce(F.col("__next"), F.col("__last"))).filter(F.col("__upto") > F.col("__b"))
+    best = best.withColumn("__next", F.lead("__b").over(w))
+    # nothing is carried past an entity's last event
+    best = best.join(last, entity).withColumn("__upto", F.least(F.col("__next"), F.col("__last"))).filter(F.col("__upto") > F.col("__b"))
     carried = best.select(
         *entity,
         F.col("__best.__rank").alias("__rank"),
