@@ -44,22 +44,41 @@ def _key_struct(keys: tuple[str, ...]) -> list[Column]:
     return cols
 
 
-def _long(rows: DataFrame, levels: list[Level], base: list[Column], value: bool) -> DataFrame:
-    """Each row once per level whose determinants it has: base, level, k1..k3, field, w (, value)."""
+def _long(rows: DataFrame, levels: list[tuple[int, Level]], base: list[Column], value: bool) -> DataFrame:
+    """Each row once per level whose determinants it has: base, level, field, k1..k3, w, and with ``value`` v and its bin."""
     parts = []
-    for n, lv in enumerate(levels):
+    for n, lv in levels:
         w = F.expr(lv.weight).cast("double") if lv.weight else F.lit(1.0)
-        parts.append(
-            F.struct(
-                F.lit(n).alias("level"),
-                F.lit(lv.field).alias("field"),
-                *_key_struct(lv.keys),
-                w.alias("w"),
-                (F.col(f"`{lv.field}`") if value else F.lit(None)).cast("double").alias("v"),
-            )
-        )
+        v = F.col(f"`{lv.field}`").cast("double")
+        extra = [v.alias("v"), F.floor(v / F.lit(lv.tolerance)).alias("bin")] if value else [F.lit(lv.field).alias("field")]
+        parts.append(F.struct(F.lit(n).alias("level"), *_key_struct(lv.keys), w.alias("w"), *extra))
     x = rows.select(*base, F.explode(F.array(*parts)).alias("p")).select(*base, "p.*")
-    return x.filter("k1 is not null and k2 is not null and k3 is not null and w > 0")
+    known = "k1 is not null and k2 is not null and k3 is not null and w > 0"
+    return x.filter(known + (" and v is not null" if value else ""))
+
+
+def _group_dictionaries(rows: DataFrame, levels: list[tuple[int, Level]]) -> DataFrame | None:
+    """Averages per unit of weight of all fallback levels: one aggregation per set of keys, for all its fields."""
+    by_keys: dict[tuple, list[tuple[int, Level]]] = {}
+    for n, lv in levels:
+        by_keys.setdefault((lv.keys, lv.weight), []).append((n, lv))
+    out = None
+    for (keys, weight), group in by_keys.items():
+        w = F.expr(weight).cast("double") if weight else F.lit(1.0)
+        x = rows.select(*_key_struct(keys), w.alias("w"), *[F.col(f"`{lv.field}`").cast("double").alias(f"v{n}") for n, lv in group])
+        g = x.filter("k1 is not null and k2 is not null and k3 is not null and w > 0").groupBy("k1", "k2", "k3").agg(
+            *[
+                F.struct(
+                    F.lit(n).alias("level"), F.count(f"v{n}").alias("n"),
+                    (F.sum(f"v{n}") / F.sum(F.when(F.col(f"v{n}").isNotNull(), F.col("w")))).alias("value"),
+                ).alias(f"s{n}")
+                for n, _ in group
+            ]
+        )
+        g = g.select("k1", "k2", "k3", F.explode(F.array(*[f"s{n}" for n, _ in group])).alias("s")).filter("s.n > 0")
+        g = g.select("s.level", "k1", "k2", "k3", "s.n", F.col("s.n").alias("agree"), "s.value")
+        out = g if out is None else out.unionByName(g)
+    return out
 
 
 def mine_dictionaries(rows: DataFrame, levels: list[Level]) -> DataFrame:
@@ -70,20 +89,22 @@ def mine_dictionaries(rows: DataFrame, levels: list[Level]) -> DataFrame:
     mean. Group levels give value per unit of weight and ``agree = n``. Partial aggregation
     shrinks hot determinants and groups before the shuffle.
     """
-    tol = F.get(F.array(*[F.lit(lv.tolerance) for lv in levels]), F.col("level"))
-    group = F.get(F.array(*[F.lit(lv.kind == "group") for lv in levels]), F.col("level"))
-    x = _long(rows, levels, [], True).filter("v is not null")
-    x = x.withColumn("bin", F.when(group, F.lit(0)).otherwise(F.floor(F.col("v") / tol)))
-    bins = x.groupBy("level", "k1", "k2", "k3", "bin").agg(
+    numbered = list(enumerate(levels))
+    group = _group_dictionaries(rows, [(n, lv) for n, lv in numbered if lv.kind == "group"])
+    fds = [(n, lv) for n, lv in numbered if lv.kind == "fd"]
+    if not fds:
+        return group
+    bins = _long(rows, fds, [], True).groupBy("level", "k1", "k2", "k3", "bin").agg(
         F.count("*").alias("bn"), F.sum("v").alias("bv"), F.sum("w").alias("bw")
     )
     w = Window.partitionBy("level", "k1", "k2", "k3").orderBy("bin")
     near = F.lead("bin").over(w) == F.col("bin") + 1
     both = lambda c: F.col(c) + F.when(near, F.lead(c).over(w)).otherwise(0)
     bins = bins.select("level", "k1", "k2", "k3", "bn", both("bn").alias("pn"), both("bv").alias("pv"), both("bw").alias("pw"))
-    return bins.groupBy("level", "k1", "k2", "k3").agg(
+    fd = bins.groupBy("level", "k1", "k2", "k3").agg(
         F.sum("bn").alias("n"), F.max("pn").alias("agree"), F.max_by(F.col("pv") / F.col("pw"), "pn").alias("value")
     )
+    return fd if group is None else fd.unionByName(group)
 
 
 def verify(dictionaries: DataFrame, levels: list[Level], min_support: int, max_error: float) -> list[tuple[int, float, int]]:
@@ -149,7 +170,7 @@ def fill_missing(
         ).alias("__c"),
     ).filter("__c.__gap").select(*rows.columns, "__c.__field", "__c.__w", "__c.__i")
     base = [F.col(f"`{k}`") for k in keys] + [F.col("__field")]
-    used = [levels[n] for n in order]
+    used = [(rank[n], levels[n]) for n in order] or [(-1, levels[0])]  # no level holds: none is tried
     tries = _long(cells, used, base, False).filter("field = __field").withColumnRenamed("level", "rank")
     remap = F.create_map(*[F.lit(x) for n, i in rank.items() for x in (n, i)]) if rank else F.create_map().cast("map<int,int>")
     book = d.filter(F.col("level").isin(order) if order else F.lit(False)).withColumn("rank", F.try_element_at(remap, F.col("level")))
