@@ -170,10 +170,11 @@ def source_plan(counts: DataFrame, mix_target: DataFrame, tempered: bool = False
     return plan_mix([r.source for r in rows], tokens, [r.weight for r in rows], [r.limit for r in rows], sum(tokens), tempered)
 
 
-def realise(counts: DataFrame, plan: list[Source], block_tokens: int = 200_000, seed: int = 0) -> DataFrame:
+def realise(counts: DataFrame, plan: list[Source], block_tokens: int = 200_000, seed: int = 0, max_blocks: int = 65_536) -> DataFrame:
     """Uses of documents that meet each source's budget: (source, epoch, block, ordinal, doc_id, tokens).
 
-    A source's documents fall into hash blocks of about ``block_tokens`` tokens. Whole epochs take
+    A source's documents fall into hash blocks of about ``block_tokens`` tokens, larger ones
+    where there would be more than ``max_blocks``, so that a source's block sums stay few. Whole epochs take
     every document once; the last, partial one takes blocks in an order permuted by seed and
     epoch until the budget is met, and of the block on its edge a permuted beginning. Every epoch
     has its own permutation: read by (epoch, block, ordinal). A source misses its budget by
@@ -184,7 +185,7 @@ def realise(counts: DataFrame, plan: list[Source], block_tokens: int = 200_000,
     rows = []
     for s in plan:
         full, rest = divmod(s.budget, s.tokens) if s.tokens else (0, 0)
-        rows.append((plain_key(s.source), s.source, int(full), int(rest), max(1, -(-s.tokens // block_tokens))))
+        rows.append((plain_key(s.source), s.source, int(full), int(rest), min(max_blocks, max(1, -(-s.tokens // block_tokens)))))
     p = F.broadcast(spark.createDataFrame(rows, "key string, source string, full long, rest long, blocks long"))
     d = counts.filter("tokens > 0 and doc_id is not null").withColumn("key", label_key(F.col("label"))).join(p, "key")
     d = d.withColumn("hb", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")))

@@ -40,7 +40,7 @@ WORDS = (
 
 def _email(r: random.Random, g: str, f: str) -> str:
     local = r.choice([
-        f"{g}.{f}", f"{g}_{r.randint(10, 999)}", f"{f}{r.randint(10, 99)}", f"{g}+fpl{r.randint(1, 40)}", f"{g[0]}{f}",
+        f"{g}.{f}", f"{g}_{r.randint(10, 999)}", f"{f}{r.randint(10, 99)}", f"{g}+list{r.randint(1, 40)}", f"{g[0]}{f}",
         f"kit.desk{r.randint(1, 999)}", f"u18s{r.randint(1, 999)}", f"secretary{r.randint(1, 999)}", f"season-tickets{r.randint(1, 999)}",
     ])
     at, dot = r.choice([("@", ".")] * 6 + [(" @ ", "."), (" [at] ", " [dot] "), (" at ", " dot "), ("(at)", "."), ("[at]", "."), (" (at) ", " (dot) ")])
