@@ -224,6 +224,12 @@ def _triples(text: str) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
         before = window.pop(0)[2]
 
 
+def _loud(text: str, start: int, end: int) -> bool:
+    """Whether the letters around a segment are capitals, too."""
+    around = [c for c in text[max(0, start - 30) : start] + text[end : end + 30] if c.isalpha()]
+    return len(around) >= 6 and sum(c.isupper() for c in around) >= 0.8 * len(around)
+
+
 def _name_segments(text: str, names: NameModel, add) -> None:
     score = names.score
     for before, ahead in _triples(text):
@@ -247,6 +253,8 @@ def _name_segments(text: str, names: NameModel, add) -> None:
             if not (likely or (cap and (g > -0.2 or f > -0.2))):
                 continue
             case = "upper" if w.isupper() and w2.isupper() else ("lower" if w.islower() and w2.islower() else "cap")
+            if case == "upper" and _loud(text, s, e2):  # capitals say nothing in a text of capitals
+                case = "loud"
             fs = [f"g={_bin(g)}", f"f={_bin(f)}", f"like={_bin(g)}/{_bin(f)}", f"case={case}", f"like_case={likely}/{case}",
                   f"swapped={swapped}/{likely}", f"initial={bool(link.group(1))}/{likely}", f"first={fold(w)}", f"last={fold(w2)}",
                   f"line={'\n' in text[e:s2]}/{likely}", f"same_word_before={fold(before) == fold(w)}"]

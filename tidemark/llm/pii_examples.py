@@ -173,5 +173,10 @@ def build(given: list[str], family: list[str], n: int = 2600, seed: int = 7) ->
                         "First": lambda: r.choice(given), "Last": lambda: r.choice(family),
                     }[slot]())
             put(rest + r.choice([" ", "\n"]) + r.choice(["", r.choice(FILLER)]) + " ")
+        u = r.random()
+        if u < 0.06 and len(text.upper()) == len(text):  # some texts are all capitals, some have none
+            text = text.upper()
+        elif u > 0.96 and len(text.lower()) == len(text):
+            text = text.lower()
         out.append((text, gold))
     return out
