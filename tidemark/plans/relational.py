@@ -22,6 +22,13 @@ def typed_projection_ordered(spark, d):
     return li.orderBy("l_orderkey", "l_linenumber").limit(1000)
 
 
+@query("select cast(l_orderkey as bigint) as l_orderkey, cast(l_linenumber as bigint) as l_linenumber, cast(l_quantity as double) as q from lineitem order by l_orderkey, l_linenumber, q")
+def typed_projection_whole(spark, d):
+    """Exactly these columns and types of every row; the keys repeat, so the quantity settles their order."""
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("long"), F.col("l_quantity").cast("double").alias("q"))
+    return li.orderBy(*[F.asc_nulls_last(c) for c in ("l_orderkey", "l_linenumber", "q")])
+
+
 @query("select season * 10000000 + fpl_fixture_id as composite_key, fixture_key from (select distinct season, fpl_fixture_id, fixture_key from fixture)")
 def composite_rekey(spark, d):
     f = table(spark, d, "fixture").select("season", "fpl_fixture_id", "fixture_key").distinct()
