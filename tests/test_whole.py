@@ -14,3 +14,17 @@ def test_typed_projection_returns_every_row_in_order(spark):
     got = [tuple(r) for r in catalogue()["typed_projection_whole"][0](spark, DATA).collect()]
     li = spark.read.parquet(f"{DATA}/lineitem.parquet").selectExpr("cast(l_orderkey as long)", "cast(l_linenumber as long)", "cast(l_quantity as double)")
     assert got == sorted(tuple(r) for r in li.collect())
+
+
+def test_mixed_sort_places_every_row(spark):
+    got = {r["o_orderkey"]: r["position"] for r in catalogue()["mixed_direction_positions"][0](spark, DATA).collect()}
+    o = [tuple(r) for r in spark.read.parquet(f"{DATA}/orders.parquet").select("o_orderpriority", "o_totalprice", "o_orderkey").collect()]
+    want = sorted(o, key=lambda r: (r[0] is None, r[0] or "", r[1] is None, -(r[1] or 0), r[2]))
+    assert got == {r[2]: i for i, r in enumerate(want, 1)}
+
+
+def test_mixed_sort_places_nulls_last_and_ties_by_key(spark, tmp_path):
+    rows = [(1, 7, "b", 5.0), (2, 7, "b", 5.0), (3, 7, None, 9.0), (4, 7, "b", None), (5, 7, "a", 1.0), (6, 7, "b", 8.0), (7, 7, None, None)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderpriority string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r["position"]: r["o_orderkey"] for r in catalogue()["mixed_direction_positions"][0](spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(1, 8)] == [5, 6, 1, 2, 4, 3, 7]

@@ -495,6 +495,20 @@ def mixed_direction_sort(spark, d):
     return table(spark, d, "orders").orderBy(F.asc_nulls_last("o_orderpriority"), F.desc_nulls_last("o_totalprice"), "o_orderkey").limit(500).select("o_orderkey", "o_custkey")
 
 
+@query("select o_orderkey, o_custkey, row_number() over (order by o_orderpriority, o_totalprice desc, o_orderkey) as position from orders")
+def mixed_direction_positions(spark, d):
+    """Every row with its place in the mixed order: rows before its price band, and its rank within the band."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice")
+    cuts = one_row(o.agg(F.percentile_approx("o_totalprice", [i / 64 for i in range(1, 64)], 1000).alias("at")))["at"]
+    o = o.withColumn("cuts", cuts).withColumn("band", F.when(F.col("o_totalprice").isNotNull(), F.expr("size(filter(cuts, c -> c <= o_totalprice))"))).drop("cuts")
+    bands = o.groupBy("o_orderpriority", "band").agg(F.count("*").alias("n"))  # at most 65 bands a priority
+    w = Window.orderBy(F.asc_nulls_last("o_orderpriority"), F.desc_nulls_last("band")).rowsBetween(Window.unboundedPreceding, -1)
+    bands = bands.select(F.col("o_orderpriority").alias("bp"), F.col("band").alias("bb"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("ahead"))
+    inner = Window.partitionBy("o_orderpriority", "band").orderBy(F.desc_nulls_last("o_totalprice"), F.asc_nulls_last("o_orderkey"))
+    o = o.withColumn("r", F.row_number().over(inner)).join(broadcast_if_small(bands), F.col("o_orderpriority").eqNullSafe(F.col("bp")) & F.col("band").eqNullSafe(F.col("bb")))
+    return o.select("o_orderkey", "o_custkey", (F.col("ahead") + F.col("r")).alias("position"))
+
+
 @query(f"with {_CUR} select player_key, fixture_key, total_points from cur")
 def dedup_keep_newest(spark, d):
     return current_matches(spark, d).select("player_key", "fixture_key", "total_points")
