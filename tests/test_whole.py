@@ -3,8 +3,10 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import DATA
+from tidemark.operators.models import WalkForward, out_of_fold
 from tidemark.plans import catalogue
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
@@ -28,3 +30,40 @@ def test_mixed_sort_places_nulls_last_and_ties_by_key(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderpriority string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
     got = {r["position"]: r["o_orderkey"] for r in catalogue()["mixed_direction_positions"][0](spark, str(tmp_path)).collect()}
     assert [got[i] for i in range(1, 8)] == [5, 6, 1, 2, 4, 3, 7]
+
+
+class Seen:
+    """A stand-in for a model: predicts the number of rows that it was fitted on."""
+
+    def fit(self, df):
+        return float(df.count())
+
+    def predict(self, model, df, out):
+        return df.withColumn(out, F.lit(model))
+
+
+def test_walk_forward_predicts_every_round_with_history(spark, rows):
+    h = spark.range(1, 13).withColumnRenamed("id", "i")
+    got = WalkForward(Seen).predict(h, "i", list(range(1, 13)))
+    assert rows(got) == [(i, 4.0 if i < 9 else 8.0) for i in range(5, 13)]
+    assert WalkForward(Seen).predict(h.filter("i < 5"), "i", [1, 2, 3, 4]).count() == 0
+
+
+def test_out_of_fold_raises_on_too_many_folds_and_needs_another(spark, rows):
+    with pytest.raises(ValueError, match="more than 100"):
+        out_of_fold(spark.range(101), Seen, "id", "p")
+    assert rows(out_of_fold(spark.range(3), Seen, "id", "p")) == [(0, 2.0), (1, 2.0), (2, 2.0)]
+    assert rows(out_of_fold(spark.range(1), Seen, "id", "p")) == [(0, None)]
+
+
+@pytest.mark.parametrize("name", ["walk_forward_starts", "poisson_goals", "out_of_fold_starts"])
+def test_models_cover_all_seasons(spark, tmp_path, name):
+    g = spark.range(10).selectExpr("2020 + id div 5 as season", "id % 5 + 1 as gw", "id % 5 + 1 as gw_index")
+    g.write.parquet(f"{tmp_path}/gameweek.parquet")
+    m = g.crossJoin(spark.range(6).withColumnRenamed("id", "player_key")).withColumn("kickoff_time", F.timestamp_seconds((F.col("season") * 100 + F.col("gw")) * 86_400))
+    m = m.withColumns({"fixture_key": F.col("season") * 100 + F.col("gw"), "available_at": F.col("kickoff_time"), "starts": F.col("player_key") % 2, "minutes": F.col("player_key") * 10, "goals_scored": (F.col("gw") + F.col("player_key")) % 3})
+    m.withColumns({"team_key": F.lit(1), "opponent_team_key": F.lit(2), "was_home": F.lit(True)}).write.parquet(f"{tmp_path}/player_match.parquet")
+    got = catalogue()[name][0](spark, str(tmp_path)).collect()
+    assert len(got) == len({(r["player_key"], r["fixture_key"]) for r in got}) == (60 if name == "out_of_fold_starts" else 36)
+    assert all(r[2] is not None for r in got)
+    spark.catalog.clearCache()

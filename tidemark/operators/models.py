@@ -74,21 +74,32 @@ class WalkForward:
         return (index - 1) // self.every * self.every + 1
 
     def predict(self, history: DataFrame, order: str, rounds: list[int], out: str = "pred") -> DataFrame:
-        """Predictions for the rows of each round from a model that saw only rounds before its cutoff."""
-        parts = None
-        for cut in sorted({self.cutoff(i) for i in rounds}):
-            m = self.make()
+        """Predictions for the rows of each round from a model that saw only rounds before its cutoff.
+
+        Rounds whose cutoff has no earlier row can't be predicted and are left out.
+        """
+        first = history.agg(F.min(order)).first()[0]
+        cuts = sorted({c for i in rounds if first is not None and (c := self.cutoff(i)) > first})
+        for cut in cuts:
             if cut not in self.fits:
-                self.fits[cut] = m.fit(history.filter(F.col(order) < cut))
+                self.fits[cut] = self.make().fit(history.filter(F.col(order) < cut))
+        parts = history.limit(0).withColumn(out, F.lit(None).cast("double"))
+        for cut in cuts:
             group = [i for i in rounds if self.cutoff(i) == cut]
-            p = m.predict(self.fits[cut], history.filter(F.col(order).isin(group)), out)
-            parts = p if parts is None else parts.unionByName(p)
+            parts = parts.unionByName(self.make().predict(self.fits[cut], history.filter(F.col(order).isin(group)), out))
         return parts
 
 
+MOST_FOLDS = 100
+
+
 def out_of_fold(df: DataFrame, make: Callable[[], Any], fold: str, out: str) -> DataFrame:
-    """Each row predicted by a model fitted on the other folds (a small number of folds)."""
-    folds = [r[0] for r in df.select(fold).distinct().limit(100).collect()]
+    """Each row predicted by a model fitted on the other folds (at most ``MOST_FOLDS``, none NULL); NULL where there is no other fold."""
+    folds = [r[0] for r in df.select(fold).distinct().limit(MOST_FOLDS + 1).collect()]
+    if len(folds) > MOST_FOLDS or None in folds:
+        raise ValueError(f"{fold} has NULLs or more than {MOST_FOLDS} values")
+    if len(folds) < 2:
+        return df.withColumn(out, F.lit(None).cast("double"))
     parts = None
     for f in sorted(folds):
         m = make()

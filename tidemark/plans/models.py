@@ -27,25 +27,33 @@ def history(spark, d):
     )
 
 
+def indexed_history(spark, d):
+    """``history`` with the place ``i`` of its round among all seasons' rounds, and those places."""
+    g = table(spark, d, "gameweek").select("season", "gw_index").distinct()
+    g = g.withColumn("i", F.dense_rank().over(Window.orderBy("season", "gw_index")))  # one row per round
+    return history(spark, d).join(broadcast_if_small(g), ["season", "gw_index"]).persist(), sorted(r["i"] for r in g.collect())
+
+
 @query()
 def walk_forward_starts(spark, d):
-    """Start probabilities of one season's rounds 30 to 36 from boosted trees refitted every four rounds."""
-    h = history(spark, d).filter("season = 2022").persist()
+    """Start probabilities of all rounds with history from boosted trees refitted every four rounds across the seasons."""
+    h, rounds = indexed_history(spark, d)
     wf = WalkForward(lambda: Boosted(["m1", "m5", "s5", "home"], "start", rounds=8, depth=3))
-    p = wf.predict(h, "gw_index", list(range(30, 37)))
+    p = wf.predict(h, "i", rounds)
     return p.select("player_key", "fixture_key", F.round("pred", 6).alias("p_start"), "start")
 
 
 @query()
 def poisson_goals(spark, d):
-    h = history(spark, d).filter("season = 2022").persist()
-    m = Poisson(["m5", "s5", "g10", "home"], "goals_scored")
-    p = m.predict(m.fit(h.filter("gw_index < 25")), h.filter("gw_index >= 25"), "rate")
+    """Goal rates of all rounds with history from a regression refitted every four rounds across the seasons."""
+    h, rounds = indexed_history(spark, d)
+    p = WalkForward(lambda: Poisson(["m5", "s5", "g10", "home"], "goals_scored")).predict(h, "i", rounds, "rate")
     return p.select("player_key", "fixture_key", F.round("rate", 6).alias("rate"), "goals_scored")
 
 
 @query()
 def out_of_fold_starts(spark, d):
-    h = history(spark, d).filter("season = 2022").withColumn("fold", F.col("gw_index") % 2).persist()
+    """Start probabilities of every match, fitted on the seasons of the other parity (NULL if there are none)."""
+    h = history(spark, d).withColumn("fold", F.col("season") % 2).persist()
     p = out_of_fold(h, lambda: Boosted(["m1", "m5", "s5"], "start", rounds=5, depth=3), "fold", "p")
     return p.select("player_key", "fixture_key", F.round("p", 6).alias("p_start"), "start")
