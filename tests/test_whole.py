@@ -1,5 +1,6 @@
 """Queries that must do the whole job: every row, in the stated order."""
 
+import datetime as dt
 import os
 
 import pytest
@@ -67,3 +68,20 @@ def test_models_cover_all_seasons(spark, tmp_path, name):
     assert len(got) == len({(r["player_key"], r["fixture_key"]) for r in got}) == (60 if name == "out_of_fold_starts" else 36)
     assert all(r[2] is not None for r in got)
     spark.catalog.clearCache()
+
+
+def test_pivot_keeps_players_of_late_rounds_and_all_seasons(spark, rows, tmp_path):
+    day = dt.datetime(2022, 9, 1, tzinfo=dt.UTC)
+    m = [(1, 10, 2021, 1, 4, day), (1, 11, 2022, 4, 6, day), (1, 12, 2022, 4, 1, day), (2, 11, 2022, 40, 2, day), (3, 13, 2022, 1, 9, day.replace(year=2023))]
+    spark.createDataFrame(m, "player_key long, fixture_key long, season long, gw long, total_points long, available_at timestamp").write.parquet(f"{tmp_path}/player_match.parquet")
+    got = catalogue()["pivot_all_rounds"][0](spark, str(tmp_path))
+    assert got.columns == ["season", "player_key", "gw1", "gw4", "gw40"]
+    assert rows(got) == [(2021, 1, 4, None, None), (2022, 1, None, 7, None), (2022, 2, None, None, 2)]
+
+
+def test_deltas_read_both_sources_of_all_seasons_and_prefer_fpl(spark, rows, tmp_path):
+    at = lambda year, day: dt.datetime(year, 9, day, tzinfo=dt.UTC)
+    s = [(2021, 1, "fplcache", at(2021, 1), 50), (2021, 1, "fplcache", at(2021, 30), 60), (2021, 1, "fpl", at(2021, 30), 55), (2022, 1, "fpl", at(2022, 1), 70), (2022, 1, "fplcache", at(2022, 9), 74), (2022, 2, "fplcache", at(2022, 9), 40)]
+    df = spark.createDataFrame(s, "season long, player_key long, source string, snapshot_at timestamp, now_cost long")
+    df.withColumn("available_at", F.col("snapshot_at")).write.parquet(f"{tmp_path}/player_snapshot.parquet")
+    assert rows(catalogue()["deltas_of_all_seasons"][0](spark, str(tmp_path))) == [(2021, 1, 5, 5), (2022, 1, 4, None), (2022, 2, None, None)]

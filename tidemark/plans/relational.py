@@ -487,6 +487,20 @@ def delta_vs_days_ago(spark, d):
     return g.select("player_key", (F.col("c0") - F.col("c7")).alias("change_7d"), (F.col("c0") - F.col("c28")).alias("change_28d"))
 
 
+@query("""with s as (select * from player_snapshot qualify row_number() over (partition by season, player_key, snapshot_at order by (source = 'fpl') desc, available_at desc, now_cost desc) = 1),
+m as (select season, max(snapshot_at) mat from s group by season), r as (select season, player_key, arg_max(now_cost, snapshot_at) c0, arg_max(now_cost, snapshot_at) filter (snapshot_at <= mat - interval 7 day) c7,
+arg_max(now_cost, snapshot_at) filter (snapshot_at <= mat - interval 28 day) c28 from s join m using (season) group by season, player_key)
+select season, player_key, (c0 - c7)::bigint as change_7d, (c0 - c28)::bigint as change_28d from r""")
+def deltas_of_all_seasons(spark, d):
+    """``delta_vs_days_ago`` of every season over both sources, fpl preferred at the same instant."""
+    rank = F.struct((F.col("source") == "fpl").alias("p"), F.col("available_at").alias("at"), F.col("now_cost").alias("c"))
+    s = table(spark, d, "player_snapshot").groupBy("season", "player_key", "snapshot_at").agg(F.max_by("now_cost", rank).alias("now_cost"))
+    newest = table(spark, d, "player_snapshot").groupBy("season").agg(F.max("snapshot_at").alias("at"))
+    back = lambda n: F.max_by("now_cost", F.when(F.col("snapshot_at") <= F.col("at") - F.expr(f"interval {n} day"), F.col("snapshot_at")))
+    g = s.join(broadcast_if_small(newest), "season").groupBy("season", "player_key").agg(F.max_by("now_cost", "snapshot_at").alias("c0"), back(7).alias("c7"), back(28).alias("c28"))
+    return g.select("season", "player_key", (F.col("c0") - F.col("c7")).alias("change_7d"), (F.col("c0") - F.col("c28")).alias("change_28d"))
+
+
 # ---------------------------------------------------------------- order, dedup, sets
 
 

@@ -214,6 +214,16 @@ def pivot_to_matrix(spark, d):
     return p.select("player_key", *[F.col(str(i)).alias(f"gw{i}") for i in (1, 2, 3)])
 
 
+@query(f"""with {_KM}, g as (select season, player_key, 'gw' || gw as gw, total_points from km where gw is not null)
+select * from (pivot g on gw using sum(total_points)::bigint group by season, player_key)""")
+def pivot_all_rounds(spark, d):
+    """A row per season and player, a column per round that was played in any season."""
+    m = known_matches(view(spark, d), ["season", "gw", "total_points"]).filter("gw is not null")
+    rounds = sorted(r["gw"] for r in m.select("gw").distinct().collect())
+    p = m.groupBy("season", "player_key").pivot("gw", rounds).agg(F.sum("total_points"))
+    return p.select("season", "player_key", *[F.col(str(i)).alias(f"gw{i}") for i in rounds])
+
+
 @query("""with g as (select season, gw, gw_index, sum(total_points)::double v from (select * from player_match qualify row_number() over (partition by player_key, fixture_key order by available_at desc) = 1) join gameweek using (season, gw) group by all)
 select season, gw, max(v) over (partition by season order by gw_index rows between current row and unbounded following) as best_ahead from g""")
 def suffix_maximum(spark, d):
