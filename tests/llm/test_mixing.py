@@ -68,3 +68,18 @@ def test_realised_budgets_repeats_and_permutations(spark):
     second = [r.doc_id for r in sorted((r for r in used if r.source == "b" and r.epoch == 1), key=lambda r: (r.block, r.ordinal))]
     assert first != sorted(first) and set(second) <= set(first) and first[: len(second)] != second
     assert M.realise(c.filter("false"), list(plan.values())).count() == 0
+
+
+def test_tempered_shares_add_up_to_the_total_and_keep_limits(spark, tmp_path, monkeypatch):
+    from tidemark.llm import queries
+
+    c = spark.createDataFrame([(i, "a", 10) for i in range(90)] + [(i, "b", 10) for i in range(90, 100)], "doc_id long, label string, tokens long")
+    monkeypatch.setattr(queries, "_counts", lambda s, d: c)
+    spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], "source string, weight double, max_repeats long").write.parquet(f"{tmp_path}/mix_target.parquet")
+    got = {r.source: r.used for r in queries.QUERIES["p8_tempered_shares"][0](spark, str(tmp_path)).collect()}
+    assert got["b"] in (190, 200) and 980 <= sum(got.values()) <= 1000
+    cut = {r.source: r.used for r in queries.QUERIES["p8_shares"][0](spark, str(tmp_path)).collect()}
+    assert cut == {"a": 500, "b": 200}
+    uses = queries.QUERIES["p8_tempered_mix"][0](spark, str(tmp_path))
+    assert uses.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
+    spark.catalog.clearCache()

@@ -64,16 +64,24 @@ def p8_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan_frame(spark, mixing.source_plan(_counts(spark, sf_dir), table(spark, sf_dir, "mix_target"), tempered=True))
 
 
+def _mix(spark: SparkSession, sf_dir: str, tempered: bool) -> DataFrame:
+    counts = _counts(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    return mixing.realise(counts, mixing.source_plan(counts, table(spark, sf_dir, "mix_target"), tempered))
+
+
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per use of a document, in the order (epoch, block, ordinal) of its source."""
-    counts = _counts(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
-    return mixing.realise(counts, mixing.source_plan(counts, table(spark, sf_dir, "mix_target")))
+    return _mix(spark, sf_dir, False)
 
 
-def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and actual shares of the realised mix."""
+def p8_tempered_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``p8_mix`` by the tempered weights: all of T, at the greatest exponent that keeps every limit."""
+    return _mix(spark, sf_dir, True)
+
+
+def _shares(spark: SparkSession, sf_dir: str, tempered: bool) -> DataFrame:
     counts = _counts(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
-    plan = mixing.source_plan(counts, table(spark, sf_dir, "mix_target"))
+    plan = mixing.source_plan(counts, table(spark, sf_dir, "mix_target"), tempered)
     used = mixing.realise(counts, plan).groupBy("source").agg(F.sum("tokens").alias("used"), (F.max("epoch") + 1).alias("epochs"))
     total = sum(s.tokens for s in plan) or 1
     out = F.broadcast(_plan_frame(spark, plan)).join(used, "source", "left")
@@ -86,6 +94,16 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of the realised mix."""
+    return _shares(spark, sf_dir, False)
+
+
+def p8_tempered_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of the realised tempered mix."""
+    return _shares(spark, sf_dir, True)
+
+
 def p8_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exponent at which exponentiated token shares have the target mix's entropy, and those shares."""
     plan = mixing.source_plan(_counts(spark, sf_dir), table(spark, sf_dir, "mix_target"))
@@ -142,6 +160,8 @@ QUERIES = {
     "p8_plan": (p8_plan, None),
     "p8_mix": (p8_mix, None),
     "p8_shares": (p8_shares, None),
+    "p8_tempered_mix": (p8_tempered_mix, None),
+    "p8_tempered_shares": (p8_tempered_shares, None),
     "p8_temperature": (p8_temperature, None),
     "p9_found": (p9_found, None),
     "p9_redacted": (p9_redacted, None),
