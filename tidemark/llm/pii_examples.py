@@ -1,65 +1,76 @@
-"""Generated sentences with marked segments, on which the segment model is trained."""
+"""Generated sentences with marked segments, on which the segment model is trained.
+
+Offices, clinics, deliveries and the like: none of the sentences is taken from a table the
+operators run on, and the tests measure on other sentences and other names.
+"""
 
 from __future__ import annotations
 
 import random
 
+from tidemark.llm.pii_words import FAMILY, GIVEN, PAIRS, PLACES
+
 Example = tuple[str, set[tuple[int, int, str]]]
 
-STREETS = ["Station", "Mill", "Old Mill", "Church", "Park", "Victoria", "Harbour", "St Mary's", "Queen's", "North", "Copper", "Abbey", "Bridge", "Weir"]
-WAYS = ["Street", "St", "Road", "Rd", "Rd.", "Lane", "Avenue", "Ave", "Close", "Crescent", "Terrace", "Way", "Drive", "Place"]
-TOWNS = ["Ashford", "Millbury", "Kingswick", "Northcliffe", "Westmere", "Easthaven", "Stonewell", "Redstead", "Oakmoor", "Fernbury", "Cinderton"]
-STREETS_DE = ["Haupt", "Garten", "Bahnhof", "Linden", "Birken", "Mühl", "Schul", "Berg"]
-TOWNS_DE = ["Neustadt", "Altfeld", "Rosenheim", "Talheim", "Waldstadt", "Steinbach"]
-STREETS_ES = ["Mayor", "Real", "del Sol", "San Juan", "Nueva"]
-DOMAINS = [("mail", "example"), ("club", "invalid"), ("post", "test"), ("example", "com"), ("example", "org"), ("example", "net"), ("home", "example")]
-TEAM_FIRST = ["Ashford", "Northgate", "Millmere", "Kingsgate", "Westmere", "Eastmere", "Stonegate", "Redmere"]
-TEAM_LAST = ["United", "City", "Rovers", "Town", "Athletic", "Albion", "Wanderers", "Vale", "Borough", "Harriers", "County", "Rangers"]
+STREETS = ["Maple", "Oak", "Elm", "High", "Market", "Castle", "King's", "St John's", "Saint Ann's", "Chestnut", "Washington", "Sunset", "Cedar Creek", "Long Acre", "River", "Orchard", "Spring", "Martin Luther King", "Fifth", "Cherry", "Old Kent", "Pine", "Windmill"]
+WAYS = ["Street", "St", "St.", "Road", "Rd", "Rd.", "Lane", "Ln", "Avenue", "Ave", "Ave.", "Close", "Crescent", "Terrace", "Way", "Drive", "Dr", "Place", "Court", "Boulevard", "Blvd", "Gardens", "Square"]
+TOWNS = ["Bath", "Exeter", "Durham", "Lincoln", "Hereford", "Stirling", "Swansea", "Truro", "Ripon", "Wells Green", "Kirkby Stone", "Aldermoor", "Penbury", "Thistleford", "Sheldwick", "Harbledown", "Wexcombe"]
+TOWNS_US = [("Springfield", "IL"), ("Salem", "OR"), ("Dayton", "OH"), ("Santa Rosa", "CA"), ("Albany", "NY"), ("Tulsa", "OK"), ("Mobile", "AL"), ("Washington", "DC")]
+TOWNS_DE = ["Kassel", "Bremen", "Köln", "Mainz", "Leipzig", "Ulm", "Graz", "Altdorf"]
+STREETS_DE = ["Kirch", "Wald", "Rosen", "Goethe", "Schiller", "Markt", "Wiesen", "Post", "Kaiser", "Mozart"]
+STREETS_ES = ["de Alcalá", "Serrano", "de la Paz", "Cervantes", "San Pedro", "Goya"]
+STREETS_FR = ["de la Gare", "Victor Hugo", "des Fleurs", "du Moulin", "Pasteur", "Saint-Michel"]
+STREETS_IT = ["Garibaldi", "Dante", "Roma", "Verdi", "dei Mille"]
+TOWNS_ROMANCE = ["Sevilla", "Burgos", "Nantes", "Lille", "Siena", "Parma", "Dijon", "Cádiz"]
+HOSTS = ["acme", "northwind", "initech", "brightpath", "gmx", "post", "mail", "home", "uni-bonn", "example", "corp", "city", "webmail", "office", "green-leaf"]
+TLDS = ["com", "org", "net", "co.uk", "de", "es", "fr", "io", "edu", "example", "test", "invalid", "info", "ac.uk"]
+ROLES = ["info", "office", "billing", "support", "sales", "hello", "contact", "admin", "jobs"]
+COMPANIES = ["Acme Holdings", "Blue River Bank", "Green Leaf Ltd", "Oak Valley School", "St Mary's Hospital", "Royal Opera House", "Central Library", "Grand Hotel", "City Council", "Northern Railway", "Golden Gate Bridge", "Liberty Museum", "Albion Foods Ltd"]
 FILLER = [
-    "The keeper held on late.", "Their high line looked tired after the break.", "Nobody trusts the flat four now.",
-    "The coach was upbeat about the knee.", "We kept our shape and lost the ball twice.", "The model gives 3.41 points a game.",
-    "Round 12 deadline is on Friday.", "It stayed 2-1 until the end.", "At 7.5 million he is a fair pick.", "With 20 minutes left they chose width.",
-    "Das Mittelfeld wirkte nervös.", "Nach 12 Minuten wechselte der Trainer.", "In Runde 4 fehlt der Torwart.",
-    "El modelo da 4.20 puntos.", "La banda estuvo tranquila.", "Run 88: 3.10 mean error over 20 fixtures.", "Kick-off 15:00 14/04/2024.",
-    "25 per cent own him; his price went to 5.5.", "They moved to a back three after 30 minutes.",
+    "The printer on the second floor is out of paper again.", "Please bring two copies and a pen.", "We expect 340 guests between 18:00 and 22:30.", "Invoices are paid within 30 days.",
+    "The lift was repaired on 12 March 2021.", "Our bakery opens at seven.", "The boiler runs at 1.5 bar.", "Rain is likely on Tuesday and Wednesday.", "Das Büro ist am Montag geschlossen.", "Die Lieferung kommt um 14 Uhr.",
+    "La tienda abre a las nueve.", "El paquete llegará el 3 de mayo.", "Le magasin ferme à midi.", "Growth was 3.7 per cent in 2019 and 4.1 per cent in 2020.", "New York and Los Angeles are far apart.", "Nothing else was in the box.",
+    "Die Verwaltung zahlt die Miete am Ersten.", "Das Wetter war gut, der Himmel blieb klar.", "Nach dem Essen ging die Familie an den See.", "Ohne Licht kein Bild, sagt der Fotograf.", "Gegen Abend kam der Regen, das Dach hielt.", "Am Bahnhof fehlte der Zug, die Ansage war leise.", "Eine Tasse ist leer, ein Teller auch.", "Trotz Regen blieb die Stimmung gut.", "En el barrio, la plaza estaba llena.", "Con tres minutos más, el pan se quema.", "Hasta la noche no hubo noticias.", "Warten auf den Bus der Linie 12.",
+    "The meeting lasted 90 minutes and ended without a vote.", "Version 2.4.1 fixes 17 bugs.", "Grand Central was crowded on Good Friday.", "Der Garten sah nach dem Regen gut aus.", "Meet at 5 on the way home.", "She ran 10 miles up the hill in the park.",
 ]
-WORDS = (
-    "the a an and or but of on in at to from for with without by as is are was were be been it this that these those he she they we you "
-    "his her their our my your not no yes new old good late early long short high low left right first last next more less most under over "
-    "after before because while until when where who what how down out up off again still back half side ball pitch ground game match team "
-    "club coach keeper striker captain winger midfielder defender sweeper substitute referee crowd stand ticket season round deadline price "
-    "points minutes goals shots model error fixture post box line flank corner centre penalty spot press block pair pivot diamond width "
-    "shape trust nerve lead grip margin tempo balance rhythm cover threat spacing patience knee ankle hip groin calf thigh shoulder back "
-    "upbeat hopeful cagey tired sharp blunt brave flat open slick ragged clever fluent frantic composed cautious direct nervy patient "
-    "monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december "
-    "despite given through beyond evidence forecast habit volume form luck news reason shrug accounts scoreline measure tradition "
-    "das die der und nicht mit nach vor bei ohne gegen war wirkte blieb spielte mittelfeld torwart abwehr trainer minuten runde punkten linie "
-    "el la los las una con sin por para entre estuvo minuto jornada puntos banda portero lateral modelo frente recuperar"
-).split()
+
+
+def _coined(r: random.Random, least: int, most: int) -> str:
+    """A name in no stock."""
+    syllable = lambda: r.choice(["b", "br", "d", "f", "g", "gr", "h", "k", "l", "m", "n", "p", "r", "s", "st", "t", "th", "v", "w", "y", "z", ""]) + r.choice("aeiou") + r.choice(["", "n", "r", "l", "m", "s", "ck", "nd", "tt", "sk"])
+    w = "".join(syllable() for _ in range(r.randint(least, most))) + r.choice(["a", "e", "o", "y", "er", "an", "ic", "is", "en", ""])
+    return w.capitalize() if len(w) > 2 else w.capitalize() + "ra"
+
+
+def _digits(r: random.Random, k: int) -> str:
+    return "".join(r.choice("0123456789") for _ in range(k))
 
 
 def _email(r: random.Random, g: str, f: str) -> str:
     local = r.choice([
-        f"{g}.{f}", f"{g}_{r.randint(10, 999)}", f"{f}{r.randint(10, 99)}", f"{g}+list{r.randint(1, 40)}", f"{g[0]}{f}",
-        f"kit.desk{r.randint(1, 999)}", f"u18s{r.randint(1, 999)}", f"secretary{r.randint(1, 999)}", f"season-tickets{r.randint(1, 999)}",
+        f"{g}.{f}", f"{g}_{r.randint(1, 999)}", f"{f}{r.randint(1, 99)}", f"{g}+{r.choice(['news', 'lists', 'x'])}{r.randint(1, 40)}", f"{g[0]}{f}", f"{g[0]}.{f}", f, f"{f}-{g}",
+        f"team.{r.choice(ROLES)}{r.randint(1, 99)}", f"{r.choice(ROLES)}{r.randint(1, 99)}", r.choice(ROLES), f"{r.choice(ROLES)}-{r.choice(ROLES)}{r.randint(1, 99)}",
     ])
-    at, dot = r.choice([("@", ".")] * 6 + [(" @ ", "."), (" [at] ", " [dot] "), (" at ", " dot "), ("(at)", "."), ("[at]", "."), (" (at) ", " (dot) ")])
-    s = local + at + dot.join(r.choice(DOMAINS))
-    return s.upper() if r.random() < 0.1 else s
+    at, dot = r.choice([("@", ".")] * 7 + [(" @ ", "."), (" [at] ", " [dot] "), (" at ", " dot "), ("(at)", "."), ("[at]", "."), (" (at) ", " (dot) "), ("(at)", "(dot)"), (" {at} ", ".")])
+    if at == " at " and local in ROLES:
+        local = f"{g}{r.randint(1, 99)}"
+    s = local + at + (r.choice(HOSTS) + "." + r.choice(TLDS)).replace(".", dot)
+    return s.upper() if r.random() < 0.08 else s
 
 
 def _phone(r: random.Random) -> str:
-    n = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    n = lambda k: _digits(r, k)
     return r.choice([
-        f"07700 900{n(3)}", f"07700900{n(3)}", f"+44 7700 900{n(3)}", f"+44 (0)7700 900{n(3)}", f"0044 7700 900 {n(3)}", f"(01632) 960{n(3)}",
-        f"01632-960-{n(3)}", f"+44.1632.960{n(3)}", f"020 7946 0{n(3)}", f"+49 30 23125 {n(3)}", f"030/23125-{n(3)}", f"(555) 555-01{n(2)}",
-        f"555.555.01{n(2)}", f"+1-555-555-01{n(2)}", f"01632 960{n(3)}", f"0049 30 23125{n(3)}", f"+34 600 {n(3)} {n(3)}",
+        f"07{n(3)} {n(6)}", f"07{n(9)}", f"07{n(3)} {n(3)} {n(3)}", f"+44 7{n(3)} {n(6)}", f"+44 (0)7{n(3)} {n(6)}", f"0044 7{n(3)} {n(3)} {n(3)}", f"(01{n(3)}) {n(6)}", f"01{n(3)}-{n(3)}-{n(3)}",
+        f"01{n(3)} {n(6)}", f"+44.1{n(3)}.{n(6)}", f"020 {n(4)} {n(4)}", f"(020) {n(4)} {n(4)}", f"+49 {n(2)} {n(5)} {n(3)}", f"0{n(2)}/{n(5)}-{n(3)}", f"0{n(3)} / {n(7)}".replace(" / ", "/"), f"+49 (0)89 {n(6)}",
+        f"({n(3)}) {n(3)}-{n(4)}", f"({r.randint(201, 989)}) 555-{n(4)}", f"{r.randint(201, 989)}.{n(3)}.{n(4)}", f"{r.randint(201, 989)}-{n(3)}-{n(4)}", f"+1-{r.randint(201, 989)}-{n(3)}-{n(4)}", f"+1 {r.randint(201, 989)} {n(3)} {n(4)}", f"1-800-{n(3)}-{n(4)}",
+        f"0049 {n(2)} {n(8)}", f"+34 6{n(2)} {n(3)} {n(3)}", f"+34 9{n(8)}", f"+33 1 {n(2)} {n(2)} {n(2)} {n(2)}", f"01 {n(2)} {n(2)} {n(2)} {n(2)}", f"+39 06 {n(4)} {n(4)}", f"+353 1 {n(3)} {n(4)}", f"+91 {n(5)} {n(5)}", f"+{r.choice(['31', '46', '48', '41'])} {n(2)} {n(3)} {n(2)} {n(2)}",
     ])
 
 
 def _health(r: random.Random, ok: bool) -> str:
     while True:
-        d = [9, 9, 9] + [r.randint(0, 9) for _ in range(6)]
+        d = [r.randint(1, 9)] + [r.randint(0, 9) for _ in range(8)]
         c = 11 - sum(x * w for x, w in zip(d, range(10, 1, -1), strict=False)) % 11
         if c == 10:
             continue
@@ -70,72 +81,112 @@ def _health(r: random.Random, ok: bool) -> str:
         return r.choice([s, f"{s[:3]} {s[3:6]} {s[6:]}", f"{s[:3]}-{s[3:6]}-{s[6:]}"])
 
 
+def _nino(r: random.Random) -> str:
+    p = "QQ" if r.random() < 0.3 else r.choice("ABCEGHJKLMNOPRSTWXYZ") + r.choice("ABCEGHJKLMNPRSTWXYZ")
+    a, b, c, z = _digits(r, 2), _digits(r, 2), _digits(r, 2), r.choice("ABCD")
+    s = r.choice([f"{p}{a}{b}{c}{z}", f"{p}-{a}-{b}-{c}-{z}", f"{p} {a} {b} {c} {z}", f"{p} {a}{b}{c} {z}"])
+    return s.lower() if r.random() < 0.12 else s
+
+
 def _identity(r: random.Random) -> str:
-    n = lambda: f"{r.randint(0, 99):02d}"
-    a, b, c, z = n(), n(), n(), r.choice("ABCD")
-    return r.choice([
-        f"QQ{a}{b}{c}{z}", f"QQ-{a}-{b}-{c}-{z}", f"QQ {a} {b} {c} {z}", f"qq {a}{b}{c} {z.lower()}",
-        f"000-{a}-{b}{c}", f"000 {a} {b}{c}", _health(r, True), _health(r, True),
-    ])
+    k = r.random()
+    if k < 0.4:
+        return _nino(r)
+    if k < 0.65:
+        a = "000" if r.random() < 0.3 else f"{r.randint(1, 899):03d}"
+        sep = r.choice("- ")
+        return f"{a}{sep}{_digits(r, 2)}{sep}{_digits(r, 4)}"
+    return _health(r, True)
 
 
 def _address(r: random.Random) -> str:
     k = r.random()
-    if k < 0.22:
-        return f"{r.choice(STREETS_DE)}{r.choice(['straße', 'str.', 'weg'])} {r.randint(1, 190)}{r.choice(['', 'a', 'b'])}, {r.randint(10000, 99999)} {r.choice(TOWNS_DE)}"
-    if k < 0.27:
-        return f"Calle {r.choice(STREETS_ES)} {r.randint(1, 190)}, {r.randint(10000, 52999)} {r.choice(TOWNS)}"
+    five = f"{r.randint(1000, 99999):05d}"
+    num = f"{r.randint(1, 190)}{r.choice(['', '', 'a', 'b', 'C'])}"
+    if k < 0.14:
+        way = r.choice(["straße", "str.", "weg", "allee", "gasse", "platz"])
+        name = r.choice(STREETS_DE)
+        return f"{name}{way} {num}, {five} {r.choice(TOWNS_DE)}" if r.random() < 0.8 else f"{name}er Straße {num}, {five} {r.choice(TOWNS_DE)}"
+    if k < 0.2:
+        return f"{r.choice(['Calle', 'Avenida', 'Plaza', 'C/'])} {r.choice(STREETS_ES)} {num}, {five} {r.choice(TOWNS_ROMANCE)}"
+    if k < 0.26:
+        return f"{num}{r.choice(['', ',', ' bis'])} {r.choice(['rue', 'avenue', 'boulevard', 'place'])} {r.choice(STREETS_FR)}, {five} {r.choice(TOWNS_ROMANCE)}"
+    if k < 0.3:
+        return f"Via {r.choice(STREETS_IT)} {num}, {five} {r.choice(TOWNS_ROMANCE)}"
+    if k < 0.45:
+        town, state = r.choice(TOWNS_US)
+        way = f"{r.choice(STREETS)} {r.choice(WAYS)}{r.choice(['', '', ' NW', ' SE'])}"
+        return f"{r.randint(1, 9999)} {way}{r.choice([', ', chr(10)])}{town}, {state} {five}{r.choice(['', '', '-' + _digits(r, 4)])}"
     sep = r.choice([", ", ", ", " ", "\n"])
-    flat = r.choice(["", "", "", f"Flat {r.randint(1, 30)}, ", f"Unit {r.randint(1, 20)}B "])
-    post = f"{r.choice(['XQ', 'ZZ', 'QV'])}{r.randint(1, 19)} {r.randint(1, 9)}{r.choice('ABDEFGHJ')}{r.choice('ABDEFGHJ')}"
-    if r.random() < 0.2:
-        post = post.replace(" ", "").lower()
-    num = f"{r.randint(1, 190)}{r.choice(['', '', 'a', 'b'])}{r.choice(['', '', ','])}"
-    sep2 = sep if sep == "\n" else r.choice([", ", " "])
-    s = f"{flat}{num} {r.choice(STREETS)} {r.choice(WAYS)}{sep}{r.choice(TOWNS)}{sep2}{post}"
+    flat = r.choice(["", "", "", f"Flat {r.randint(1, 30)}, ", f"Unit {r.randint(1, 20)}{r.choice(['', 'B'])} ", f"Apartment {r.randint(1, 60)}, ", f"Suite {r.randint(1, 400)}, ", f"Flat {r.choice('ABC')}\n"])
+    street = f"{r.choice(STREETS)} {r.choice(WAYS)}"
+    head = f"{flat}{num}{r.choice(['', '', ','])} {street}"
+    if k < 0.53:
+        s = f"{head}{sep}{r.choice(TOWNS)}"
+        s = head + ", " + r.choice(TOWNS)
+    else:
+        post = f"{r.choice(['BA', 'EX', 'LN', 'TR', 'SW', 'M', 'ZZ', 'QX'])}{r.randint(1, 19)} {r.randint(1, 9)}{r.choice('ABDEFGHJ')}{r.choice('ABDEFGHJ')}"
+        if r.random() < 0.2:
+            post = post.replace(" ", "").lower()
+        s = f"{head}{sep}{r.choice(TOWNS)}{sep if sep == chr(10) else r.choice([', ', ' '])}{post}"
     return s.upper() if r.random() < 0.1 else s
 
 
-def _name(r: random.Random, g: str, f: str) -> str:
-    if r.random() < 0.12:
-        f = f"{f}-{r.choice(['Ashby', 'Norwood', 'Kirkham', f])}"
+def _name(r: random.Random, g: str, f: str, more_given: list[str], more_family: list[str]) -> str:
     k = r.random()
-    s = f"{g} {r.choice('ABCDEHJLMRST')}. {f}" if k < 0.15 else (f"{f}, {g}" if k < 0.28 else f"{g} {f}")
+    if r.random() < 0.1:
+        f = f"{f}-{r.choice(more_family)}"
+    if k < 0.13:
+        s = f"{g} {r.choice('ABCDEHJLMRSTW')}. {f}"
+    elif k < 0.26:
+        s = f"{f}, {g}"
+    elif k < 0.32:
+        s = f"{g} {r.choice(more_given)} {f}"
+    elif k < 0.37:
+        s = f"{g} {r.choice(['de', 'del', 'van', 'von', 'van der', 'di', 'bin', 'da', 'de la'])} {f}"
+    elif k < 0.40:
+        s = f"{g} {r.choice(more_given)} {r.choice(more_family)} {f}"
+    elif k < 0.42:
+        s = f"{g} del {r.choice(more_given)} {f}"
+    else:
+        s = f"{g} {f}"
+    if r.random() < 0.05:
+        s = s.replace(" ", "\n", 1)
     c = r.random()
-    return s.upper() if c < 0.1 else (s.lower() if c < 0.18 else s)
+    return s.upper() if c < 0.1 else (s.lower() if c < 0.16 and "." not in s else s)
 
 
 TEMPLATES: list[tuple[str, int]] = [
     # sentences with marked slots, and how often each is used
-    ("Write to {email} before noon.", 3), ("I can be reached at {email}, mornings only.", 3), ("Mail: {email}.", 2), ("mailto:{email} for codes.", 2),
-    ("reply to <{email}>", 2), ("({email})", 2), ("Ask for {email}; they answer.", 2), ("Codes come from {email}; ask there.", 2), ("Schreiben Sie an {email} bitte.", 2), ("Escriban a {email} hoy.", 2),
-    ("Call {phone} after training.", 3), ("Ring {phone}, not the old line.", 3), ("Tel. {phone}.", 3), ("My number is {phone}.", 3), ("Text me on {phone} tonight.", 2),
-    ("Office: {phone}, ask for tickets.", 2), ("Llamen al {phone} por favor.", 1), ("Telefon {phone}.", 1), ("phone {phone}, post to {address}.", 3),
-    ("He put {identity} on the sheet.", 3), ("ID check: {identity}.", 3), ("ID check: health no. {identity}.", 2), ("The form shows social security {identity}.", 2), ("The steward form shows {identity}.", 3),
-    ("Registered with {identity} at the gate.", 3), ("My insurance number {identity} is on file.", 2), ("National insurance number {identity}.", 2), ("health no. {identity}", 2), ("Registered with social security {identity} at the gate.", 1), ("He put health no. {identity} on the sheet.", 1),
-    ("We meet at {address} before the coach leaves.", 3), ("Send the shirt to {address}.", 3), ("Address on file: {address}.", 3), ("He lives at {address}, near the ground.", 3), ("Delivery:\n{address}\n", 3), ("post to {address}.", 2),
-    ("Contact {name} ({email}), phone {phone}, post to {address}.", 4), ("Sender: {name} | {email} | {phone} | {address} |", 4), ("{name}\n{email}\n{phone}\n{address}\n", 3),
-    ("Our neighbour {name} saw it.", 3), ("Our neighbour Mr {name} saw it.", 2), ("Season card moved to {name} today.", 3), ("Season card moved to Ms {name} today.", 2), ("-- {name}.", 3), ("-- Dr {name}.", 2), ("League admin: {name}.", 3), ("League admin: Mx {name}.", 2),
-    ("That seat belongs to {name}.", 2), ("Please thank {name} for the lift.", 2), ("Please thank Dr {name} for the lift.", 2), ("As {name} wrote below, it was shut.", 2), ("As Ms {name} wrote below, it was shut.", 2), ("Bitte an {name} weitergeben.", 2), ("Bitte an Mr {name} weitergeben.", 1),
-    ("Pregunten a {name} por el carnet.", 2), ("El asiento es de {name}.", 2), ("Der Platz gehört {name}.", 2), ("{name} asked for a refund.", 2), ("Mr {name} asked for a refund.", 2), ("Give it to {name}.", 2), ("Sent to Dr {name}.", 2), ("Seat paid by {name} and kept.", 1),
-    ("{name} felt the knee on Sunday.", 3), ("Scouts liked how {name} tracked back.", 3), ("They expect {name} back after a scan.", 2), ("At 7.5 million, {name} is a sharp pick.", 3), ("With the bench empty, {name} swept it clear.", 3), ("Under little pressure, {name} pressed on.", 3), ("{name} out, someone from {team} in.", 2), ("until {name} tracked a flat ball.", 1), ("before {name} left, {team} led.", 1),
+    ("Our mailbox is {email} and it is read daily.", 3), ("Forward the minutes to {email} please.", 3), ("E-mail: {email}", 3), ("For refunds email {email} or visit the desk.", 3), ("Die Adresse lautet {email} und wird täglich gelesen.", 1), ("Su correo es {email} desde ayer.", 1),
+    ("[{email}]", 2), ("cc: {email}, {email}", 2), ("{email} bounced twice.", 3), ("You reach the clinic via {email} at any hour.", 2), ("My inbox, {email}, is full.", 2), ("Subscribe with {email} today", 2),
+    ("Dial {phone} for the night desk.", 3), ("Phone: {phone}", 3), ("Her mobile is {phone} these days.", 3), ("Send a text to {phone} when you arrive.", 3), ("Fax {phone} still works.", 2), ("The pharmacy answers on {phone} until six.", 3), ("Rufen Sie {phone} an.", 1), ("Téléphone : {phone}", 1), ("Su teléfono es {phone} ahora.", 1), ("({phone})", 2), ("Tel. {phone}", 2), ("Tel {phone} or come by.", 2), ("No answer on {phone}, sorry.", 2), ("Just call {phone}!", 2), ("{phone} is engaged all morning.", 2), ("Mobile {phone}, landline {phone}.", 2),
+    ("The file lists {identity} for this patient.", 3), ("NI number: {identity}", 3), ("Social security number {identity} was copied wrongly.", 3), ("NHS number {identity}", 3), ("My national insurance no. is {identity} and I pay tax.", 3), ("Identity: {identity}.", 2), ("SSN {identity}; born 1980.", 2), ("Her health number, {identity}, is new.", 2), ("She entered {identity} in the first field.", 5), ("Please confirm {identity} by Monday.", 2), ("Someone wrote {identity} on the envelope.", 5), ("We copied {identity} from the old form.", 5), ("{identity} is what the clerk typed.", 2),
+    ("The parcel goes to {address} on Monday.", 4), ("Home address: {address}", 4), ("They moved from {address} last spring.", 4), ("Her flat at {address} is for sale.", 3), ("Billing address:\n{address}\n", 4), ("Return it to {address}, please.", 3), ("Wohnhaft in {address}.", 1), ("Vive en {address}.", 1), ("J'habite au {address}.", 1), ("Our shop ({address}) is closed.", 2),
+    ("{name}, {phone}, {email}", 3), ("{name}\n{address}\n{phone}\n", 4), ("Attn: {name}, {address}", 3), ("Name: {name}; Phone: {phone}; Address: {address}", 3), ("From: {name} <{email}>", 4), ("{name} | {email} | {phone}", 3),
+    ("Dear {name}, your table is booked.", 3), ("Regards, {name}", 3), ("Dr {name} will see you now.", 3), ("The lease was signed by {name} in April.", 4), ("Mrs {name} paid in cash.", 3), ("I met {name} at the conference.", 4), ("Herr {name} wartet schon.", 2), ("Frau {name} ist im Urlaub.", 1), ("La señora {name} llamó ayer.", 2), ("Madame {name} est absente.", 1), ("{name} resigned last week.", 4), ("We hired {name} and two others.", 4), ("according to {name}, it rained.", 3), ("The letter from {name} arrived late.", 3), ("Patient: {name}", 3), ("Is {name} joining us?", 3), ("The winner is {name}!", 3), ("Ask Mr {name} or Ms {name}.", 2), ("{name} and {name} share an office.", 3), ("Only {name} knew.", 3), ("A photo of {name} was found.", 3), ("We let {name} decide.", 3), ("Unser Nachbar {name} grüßt.", 2), ("La casa de {name} es azul.", 2), ("Tomorrow {name} sings.", 3), ("They gave {name} a medal.", 3), ("Thanks, {name}", 2), ("On behalf of {name}, we write.", 2), ("Das Auto gehört {name} seit Mai.", 2), ("Der Bruder von {name} kocht.", 2), ("Das Haus von {name} steht leer.", 2), ("El hermano de {name} cocina.", 2), ("Llame a {name} mañana.", 2), ("Her son {name} plays the flute.", 3), ("On Monday {name} returned.", 3), ("-- {name}", 2), ("\"It works\", said {name}.", 3),
     # decoys: nothing but what is marked counts
-    ("Ticket no. {badhealth} is void.", 4), ("Ticket no. {goodhealth} is void.", 4), ("Order no. {goodhealth} shipped.", 2), ("Build {build} is live.", 4), ("Fixture {fixture} was moved.", 4), ("ref QX-{nino} noted.", 4), ("Follow @bench_{two} for flags.", 3), ("Rated 6.33 @ home, 3.30 @ away.", 3), ("His ID {badhealth} was wrong.", 1),
-    ("He was good at home dot com standards aside.", 3), ("Strong at home dot com numbers prove it.", 1), ("The {one} {street} Road end games were flat.", 4), ("The {street} Stand was shut.", 3), ("The {street} Terrace was loud.", 2), ("League of {eight} of them.", 2), ("Kick-off 15:00 14/04/2024.", 2), ("The line \"{two} per cent with\" keeps coming up.", 2),
-    ("{team} against {team} finished 2-0.", 5), ("Nobody at {team} trusts the plan.", 4), ("Gegen {team} war das Mittelfeld wach.", 3), ("{team} kept their shape.", 4), ("{First} felt the calf.", 3), ("{Last} scuffed it wide.", 3), ("Tickets for {team} and {team} sold out.", 2), ("Al final {team} perdió el ritmo.", 3), ("So {First}, the keeper, left.", 2),
+    ("Invoice no. {badhealth} is unpaid.", 4), ("Order {badhealth} was packed.", 3), ("Tracking code {goodhealth} is live.", 2), ("Booking no. {goodhealth} is confirmed.", 2), ("Case {goodhealth} was closed.", 1), ("Release {build} is out.", 4), ("Ref. {nino} is archived.", 4), ("Part number {nino} is sold out.", 3), ("Batch {long} failed.", 4), ("Serial {long}.", 3), ("Patient number {badhealth} does not exist.", 3), ("ISBN 978-3-16-{six}-0 is a novel.", 2), ("From 2021-05-17 to 2021-06-30.", 2), ("Doors 19:30 2{one}/0{one}/202{one}, seat {two}.", 3), ("On 1{one}.0{one}.199{one} 20{two} came.", 2), ("Paid 1{one}-0{one}-2019 08{two}.", 2), ("The server is 192.168.10.{two}.", 2), ("Population: 1 {two}0 345 678.", 2),
+    ("Follow @{low}_{two} for updates.", 3), ("Eggs 2.40 @ market, 1.99 @ farm.", 3), ("He excels at work dot com or not.", 3), ("We stayed at town dot net cafes.", 3), ("Prices at shop dot org were fair.", 2), ("Look at this dot plot there.", 2),
+    ("The {two} {street} Road buses were late.", 3), ("The {street} Avenue bridge is shut.", 3), ("{street} Street was quiet.", 3), ("We walked {two} miles on the way to town.", 3), ("{two} people in the park sang.", 3), ("About {two} cars a day use the old road here.", 3), ("The {street} Terrace café is loud.", 2), ("After {two} minutes he took first place.", 3), ("In round {two} they lost their way.", 2), ("Nach {two} Minuten war der Weg frei.", 2),
+    ("{place} and {place} are twinned.", 4), ("{pair} is warm in June.", 2), ("A letter from {pair} came.", 2), ("Yesterday {Family} won.", 2), ("Unsere Firma {Family} wächst.", 1), ("{company} hired {two} clerks.", 5), ("The {company} sale.", 3), ("Der Alte Markt und die Neue Brücke.", 2), ("Die Deutsche Bank zahlt.", 1), ("El Banco Central y la Gran Vía.", 2), ("Central Park, Wall Street and Times Square.", 2), ("North Gate and South Gate are shut.", 2), ("Victoria Park and Albert Bridge.", 2), ("He works for {company} in {place}.", 5), ("{place} {body} met {place} {body} again.", 5), ("{made} {body} won the tender.", 5), ("{made} {body} against {made} {body} was dull.", 4), ("Fans of {made} {body} sang.", 4), ("{Given} laughed.", 4), ("{Family} was late.", 3), ("{Given}, the plumber, left.", 3), ("So {Given} and {Given} agreed.", 3), ("Gegen {made} war der Ball rund.", 3), ("Ohne {Family} geht die Firma unter.", 3), ("Nach {made} fährt ein Bus, die Karte kostet wenig.", 2), ("Para {Family} la noche fue larga.", 2), ("Before {made} {body}, {Family} slept.", 3), ("With {Family} away, {Given} cooks.", 3), ("Under {Family} the firm grew.", 2), ("From {made}, {two} buses run.", 2), ("Tell {Given} about it.", 2), ("{Family} and {Family} agreed, {Family} did not.", 3), ("On Good Friday the Royal Mail rests.", 2), ("New Zealand beat South Africa.", 2), ("Happy Birthday, {Given}!", 2), ("Merry Christmas and a Happy New Year!", 2), ("See Chapter Two, Section Four.", 2), ("United Nations, World Bank, Red Cross.", 2), ("The Daily Telegraph and the Sunday Times.", 2),
 ]
+BODY = ["United", "City", "Rovers", "Town", "Athletic", "Bank", "Council", "Museum", "School", "Ltd", "Wanderers", "Station", "Rangers", "County", "Albion", "Group"]
 
 
-def build(given: list[str], family: list[str], n: int = 2600, seed: int = 7) -> list[Example]:
-    """``n`` texts of one marked sentence between fillers, with the segments' places."""
+def build(given: list[str], family: list[str], n: int = 4800, seed: int = 7) -> list[Example]:
+    """``n`` texts of marked sentences between fillers, with the segments' places. A quarter of the names are from
+    ``given`` and ``family``, half from the public stocks, a quarter in neither."""
     r = random.Random(seed)
-    given = given or ["Anna", "Peter", "Maria"]
-    family = family or ["Miller", "Smith", "Garcia"]
+    made_up = ([_coined(r, 1, 2) for _ in range(400)], [_coined(r, 2, 3) for _ in range(400)])
+    stocks = [(given, family)] * bool(given and family) + [(GIVEN, FAMILY), (GIVEN, FAMILY), made_up]
     pool = [t for t, k in TEMPLATES for _ in range(k)]
     out: list[Example] = []
     for _ in range(n):
-        g, f = r.choice(given), r.choice(family)
+        gs, fs = r.choice(stocks)
+        g, f = r.choice(gs), r.choice(fs)
         plain = lambda s: "".join(c for c in s.lower() if c.isascii() and c.isalpha()) or "kim"
+        made = lambda: r.choice(fs)[: r.randint(3, 6)] + r.choice(["ford", "mere", "gate", "ham", "ton", "wick", "by", "stead"])
         text, gold = "", set()
 
         def put(s: str, kind: str | None = None) -> None:
@@ -145,7 +196,8 @@ def build(given: list[str], family: list[str], n: int = 2600, seed: int = 7) ->
             text += s
 
         for k in range(r.choice([1, 1, 2])):
-            put(r.choice(FILLER) + r.choice([" ", " ", "\n", "\n\n"]))
+            if r.random() < 0.6:
+                put(r.choice(FILLER) + r.choice([" ", " ", "\n", "\n\n"]))
             rest = r.choice(pool)
             while "{" in rest:
                 before, _, after = rest.partition("{")
@@ -160,23 +212,28 @@ def build(given: list[str], family: list[str], n: int = 2600, seed: int = 7) ->
                 elif slot == "address":
                     put(_address(r), "address")
                 elif slot == "name":
-                    g, f = (r.choice(given), r.choice(family)) if k else (g, f)
-                    put(_name(r, g, f), "name")
+                    put(_name(r, g, f, gs, fs), "name")
+                    g, f = r.choice(gs), r.choice(fs)
                 else:
                     put({
-                        "badhealth": lambda: _health(r, False), "goodhealth": lambda: _health(r, True),
-                        "build": lambda: f"0{r.randint(10, 99)}.{r.randint(10, 99)}.{r.randint(10, 99)}-{r.randint(10, 99)}",
-                        "fixture": lambda: f"20{r.randint(16, 25)}0{r.randint(100000, 999999)}",
-                        "nino": lambda: f"{r.randint(10, 99)}-{r.randint(10, 99)}-{r.randint(10, 99)}-C",
-                        "two": lambda: str(r.randint(10, 99)), "one": lambda: str(r.randint(2, 9)), "eight": lambda: str(r.randint(10**7, 10**8 - 1)),
-                        "street": lambda: r.choice(STREETS), "team": lambda: f"{r.choice(TEAM_FIRST)} {r.choice(TEAM_LAST)}",
-                        "First": lambda: r.choice(given), "Last": lambda: r.choice(family),
+                        "badhealth": lambda: _health(r, False), "goodhealth": lambda: _health(r, True), "nino": lambda: _nino(r),
+                        "build": lambda: f"0{_digits(r, 2)}.{_digits(r, 2)}.{_digits(r, 2)}-{_digits(r, 2)}", "six": lambda: _digits(r, 6),
+                        "long": lambda: _digits(r, r.randint(9, 13)), "two": lambda: str(r.randint(2, 99)), "one": lambda: str(r.randint(1, 9)), "low": lambda: plain(g),
+                        "street": lambda: r.choice(STREETS), "place": lambda: r.choice(PLACES), "company": lambda: r.choice(COMPANIES), "body": lambda: r.choice(BODY), "pair": lambda: r.choice(PAIRS),
+                        "made": made, "Given": lambda: r.choice(gs), "Family": lambda: r.choice(fs),
                     }[slot]())
             put(rest + r.choice([" ", "\n"]) + r.choice(["", r.choice(FILLER)]) + " ")
         u = r.random()
-        if u < 0.06 and len(text.upper()) == len(text):  # some texts are all capitals, some have none
+        if u < 0.05 and len(text.upper()) == len(text):  # some texts are all capitals
             text = text.upper()
-        elif u > 0.96 and len(text.lower()) == len(text):
-            text = text.lower()
         out.append((text, gold))
     return out
+
+
+def fit(given: list[str], family: list[str], classes: dict[str, str], n: int = 4800, seed: int = 7):
+    """A model trained on names most of which are not in its stocks, and then given all of them."""
+    from tidemark.llm import pii
+
+    part = pii.NameModel.fit(given[::2] + GIVEN[::3], family[::2] + FAMILY[::3], classes)
+    weights = pii.train(build(given, family, n, seed), part)
+    return pii.Model(pii.NameModel.fit(given + GIVEN, family + FAMILY, classes), weights)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.engine.session import table
 from tidemark.llm import contamination, mixing, pii, pii_examples
+from tidemark.llm.pii_words import word_classes
 
 # ---------------------------------------------------------------- problem 7
 
@@ -120,7 +121,7 @@ _MODELS: dict[tuple, pii.Model] = {}
 
 
 def _model(spark: SparkSession, sf_dir: str) -> pii.Model:
-    """The segment model; its name likeness is fitted on at most ``pii.NAME_SAMPLE`` labelled names."""
+    """The segment model; its name likeness is fitted on at most ``pii.NAME_SAMPLE`` labelled names and public stocks."""
     sample = (
         table(spark, sf_dir, "player_dim").select("first_name", "second_name").distinct()
         .orderBy(F.xxhash64("first_name", "second_name"), "first_name", "second_name").limit(pii.NAME_SAMPLE).collect()
@@ -129,27 +130,23 @@ def _model(spark: SparkSession, sf_dir: str) -> pii.Model:
     if key not in _MODELS:
         given = sorted({r.first_name for r in sample if r.first_name})
         family = sorted({r.second_name for r in sample if r.second_name})
-        names = pii.NameModel.fit(given, family, pii_examples.WORDS)
         _MODELS.clear()
-        _MODELS[key] = pii.Model(names, pii.train(pii_examples.build(given, family), names))
-        names.cache.clear()
+        _MODELS[key] = pii_examples.fit(given, family, word_classes(pii.vocabulary_paths()))
     return _MODELS[key]
 
 
-def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = pii.find_spans(table(spark, sf_dir, "documents"), _model(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+def _public_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     players = table(spark, sf_dir, "player_dim").select(F.concat_ws(" ", F.trim("first_name"), F.trim("second_name")).alias("name"))
     teams = table(spark, sf_dir, "team_dim")
-    clubs = teams.select(F.explode(F.array("fpl_names", "football_data_name", "understat_name", "odds_api_name")).alias("name"))
-    return pii.private_spans(spans, players.unionByName(clubs))
+    return players.unionByName(teams.select(F.explode(F.array("fpl_names", "football_data_name", "understat_name", "odds_api_name")).alias("name")))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans(spark, sf_dir).select("doc_id", "kind", "surface").distinct()
+    return pii.found_spans(table(spark, sf_dir, "documents"), _model(spark, sf_dir), _public_names(spark, sf_dir))
 
 
 def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.redact(table(spark, sf_dir, "documents"), _spans(spark, sf_dir))
+    return pii.redact(table(spark, sf_dir, "documents"), _model(spark, sf_dir), _public_names(spark, sf_dir))
 
 
 QUERIES = {
