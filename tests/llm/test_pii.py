@@ -1,9 +1,11 @@
 import collections
 import itertools
 import math
+import re
 
 import pytest
 
+from tests.conftest import DATA
 from tests.llm import pii_sentences as P
 from tidemark.llm import pii, pii_examples
 from tidemark.llm.pii_words import word_classes
@@ -37,7 +39,15 @@ def test_accuracy_on_sentences_written_apart(model):
         got_n.update(k for _, _, k in got)
     for kind in pii.KINDS:
         assert hit[kind] / gold_n[kind] >= 0.9, (kind, "recall", hit[kind], gold_n[kind])
-        assert hit[kind] / got_n[kind] >= 0.89, (kind, "precision", hit[kind], got_n[kind])
+        assert hit[kind] / got_n[kind] >= 0.9, (kind, "precision", hit[kind], got_n[kind])
+
+
+def test_no_training_sentence_stands_in_the_documents(spark):
+    docs = " | ".join(P.carrier_words(r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect() if r.text)
+    for t in [*(t for t, _ in pii_examples.TEMPLATES), *pii_examples.FILLER]:
+        for part in re.split(r"\{\w+\}", t):
+            part = P.carrier_words(part)
+            assert len(part.split()) < 3 or part not in docs, (t, part)
 
 
 def test_accuracy_on_generated_texts(model):

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tidemark.engine.scale import BROADCAST_ROWS, spread
 from tidemark.engine.session import ensure_checkpoint_dir
 from tidemark.llm.contamination import LOOKALIKES
-from tidemark.llm.pii_words import BODIES, PAIRS, PARTICLES, PLACES, cue_classes
+from tidemark.llm.pii_words import BODIES, LITTLE, PAIRS, PARTICLES, PLACES, cue_classes
 
 #: Words of a name at most (initials and particles not counted): the bound of the dynamic program's segments.
 NAME_WORDS = 5
@@ -93,8 +93,11 @@ _TAILS = [
     ("post", re.compile(_GAP + _POST_UK, re.I)),
     ("town", re.compile(_GAP + r"(?P<town>[^\W\d_a-z][\w'’-]+(?:[ \xa0][^\W\d_a-z][\w'’-]+)?)(?![\w'’-])")),
 ]
-WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_CAP = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]*(?:['’-][^\W\d_]+)*"
+#: What may stand inside a word: apostrophes and hyphens, invisible characters, a hyphen at a line's end.
+_INNER = r"(?:['’]|-(?:\r?\n)?|[\u00ad\u200b-\u200d\u2060\ufeff]+)"
+_HIDDEN = re.compile(r"(?<=[^\W\d_])-\r?\n(?=[^\W\d_])|[\u00ad\u200b-\u200d\u2060\ufeff]")
+WORD = re.compile(r"[^\W\d_]+(?:" + _INNER + r"[^\W\d_]+)*")
+_CAP = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]*(?:" + _INNER + r"[^\W\d_]+)*"
 _PART = r"(?:" + "|".join(sorted(PARTICLES, key=lambda p: (-len(p), p))) + r")(?![^\W\d_])"
 _LINK = r"(?:,[ \t]|[ \t\xa0]|\r?\n)"
 _RUN = re.compile(_CAP + r"(?:" + _LINK + r"(?:" + _PART + r"|[^\W\d_]\.(?![^\W\d_]{2})|" + _CAP + r"))+")
@@ -169,7 +172,7 @@ class NameModel:
                 g.append(sum(self.given.get(x, 0.0) for x in gr) / len(gr))
                 f.append(sum(self.family.get(x, 0.0) for x in gr) / len(gr))
             low = word.lower()
-            kind = "title" if "title" in _CUE.get(fold(word), ()) else "body" if low in BODIES else ("place" if word.capitalize() in _PLACE_SET else self.classes.get(low, "rare"))
+            kind = "title" if "title" in _CUE.get(fold(word), ()) else "body" if low in BODIES else ("place" if word.capitalize() in _PLACE_SET else "common" if low in LITTLE else self.classes.get(low, "rare"))
             s = (max(g), min(f), any(p in self.stock[0] for p in parts), all(p in self.stock[1] for p in parts), kind)
             if len(self.cache) > 300_000:
                 self.cache.clear()
@@ -408,6 +411,8 @@ def name_features(words: tuple[str, ...], shape: tuple, names: NameModel) -> tup
         f"name:initials={min(initials, 2)}/{likely}", f"name:words={len(words)}/{particles > 0}", f"name:line={line}/{likely}", f"name:line_stock={line}/{gs}/{fs}",
         f"name:twice={fold(given) == fold(family)}", f"name:pair={' '.join(words).lower() in _PAIR_SET}", f"name:likely={likely}/{gs}/{fs}", "name:bias",
     ]
+    dull = sum(names.look(w)[4] == "common" for w in words)
+    out.append(f"name:dull={dull}/{min(len(words), 3)}")
     for w in middle:
         mg, mf, ms, mfs, mk = names.look(w)
         out.append(f"name:middle={ms or mfs}/{mk}/{max(mg, mf) > 0.4}")
@@ -418,7 +423,7 @@ def run_spans(run: str) -> list[tuple[int, int, tuple[str, ...], tuple]]:
     """(start, end, words, shape) of all spans in a run of capitalised words that may be a name: two to NAME_WORDS
     words with initials and particles between."""
     out = []
-    units = [(u.start(), u.end(), u.group()) for u in _UNIT.finditer(run)]
+    units = [(u.start(), u.end(), u.group() if u.group().isalpha() else _HIDDEN.sub("", u.group())) for u in _UNIT.finditer(run)]
     sort = ["I" if len(w) <= 2 and (w[-1] == "." or len(w) == 1) else ("P" if w.islower() and w in PARTICLES else "W") for _, _, w in units]
     for i in range(len(units)):
         if sort[i] != "W" or not units[i][2][0].isupper():
@@ -674,7 +679,7 @@ SPAN = "struct<start:int,stop:int,kind:string,surface:string,name_key:string>"
 
 def name_key(surface: str) -> str:
     """Given and family name of a written name, folded; a name written family first is turned round."""
-    s = re.sub(r"\s+", " ", surface).strip()
+    s = re.sub(r"\s+", " ", _HIDDEN.sub("", surface)).strip()
     if "," in s:
         a, b = s.split(",", 1)
         s = f"{b.strip()} {a.strip()}"

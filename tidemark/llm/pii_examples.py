@@ -51,7 +51,7 @@ def _email(r: random.Random, g: str, f: str) -> str:
         f"{g}.{f}", f"{g}_{r.randint(1, 999)}", f"{f}{r.randint(1, 99)}", f"{g}+{r.choice(['news', 'lists', 'x'])}{r.randint(1, 40)}", f"{g[0]}{f}", f"{g[0]}.{f}", f, f"{f}-{g}",
         f"team.{r.choice(ROLES)}{r.randint(1, 99)}", f"{r.choice(ROLES)}{r.randint(1, 99)}", r.choice(ROLES), f"{r.choice(ROLES)}-{r.choice(ROLES)}{r.randint(1, 99)}",
     ])
-    at, dot = r.choice([("@", ".")] * 7 + [(" @ ", "."), (" [at] ", " [dot] "), (" at ", " dot "), ("(at)", "."), ("[at]", "."), (" (at) ", " (dot) "), ("(at)", "(dot)"), (" {at} ", ".")])
+    at, dot = r.choice([("@", ".")] * 7 + [(" @ ", "."), (" [at] ", " [dot] "), (" at ", " dot "), (" at ", " dot "), (" at ", " dot "), ("(at)", "."), ("[at]", "."), (" (at) ", " (dot) "), ("(at)", "(dot)"), (" {at} ", ".")])
     if at == " at " and local in ROLES:
         local = f"{g}{r.randint(1, 99)}"
     s = local + at + (r.choice(HOSTS) + "." + r.choice(TLDS)).replace(".", dot)
@@ -140,13 +140,13 @@ def _name(r: random.Random, g: str, f: str, more_given: list[str], more_family:
         s = f"{g} {r.choice('ABCDEHJLMRSTW')}. {f}"
     elif k < 0.26:
         s = f"{f}, {g}"
-    elif k < 0.32:
+    elif k < 0.36:
         s = f"{g} {r.choice(more_given)} {f}"
-    elif k < 0.37:
+    elif k < 0.43:
         s = f"{g} {r.choice(['de', 'del', 'van', 'von', 'van der', 'di', 'bin', 'da', 'de la'])} {f}"
-    elif k < 0.40:
+    elif k < 0.46:
         s = f"{g} {r.choice(more_given)} {r.choice(more_family)} {f}"
-    elif k < 0.42:
+    elif k < 0.5:
         s = f"{g} del {r.choice(more_given)} {f}"
     else:
         s = f"{g} {f}"
@@ -159,17 +159,17 @@ def _name(r: random.Random, g: str, f: str, more_given: list[str], more_family:
 TEMPLATES: list[tuple[str, int]] = [
     # sentences with marked slots, and how often each is used
     ("Our mailbox is {email} and it is read daily.", 3), ("Forward the minutes to {email} please.", 3), ("E-mail: {email}", 3), ("For refunds email {email} or visit the desk.", 3), ("Die Adresse lautet {email} und wird täglich gelesen.", 1), ("Su correo es {email} desde ayer.", 1),
-    ("[{email}]", 2), ("cc: {email}, {email}", 2), ("{email} bounced twice.", 3), ("You reach the clinic via {email} at any hour.", 2), ("My inbox, {email}, is full.", 2), ("Subscribe with {email} today", 2),
-    ("Dial {phone} for the night desk.", 3), ("Phone: {phone}", 3), ("Her mobile is {phone} these days.", 3), ("Send a text to {phone} when you arrive.", 3), ("Fax {phone} still works.", 2), ("The pharmacy answers on {phone} until six.", 3), ("Rufen Sie {phone} an.", 1), ("Téléphone : {phone}", 1), ("Su teléfono es {phone} ahora.", 1), ("({phone})", 2), ("Tel. {phone}", 2), ("Tel {phone} or come by.", 2), ("No answer on {phone}, sorry.", 2), ("Just call {phone}!", 2), ("{phone} is engaged all morning.", 2), ("Mobile {phone}, landline {phone}.", 2),
-    ("The file lists {identity} for this patient.", 3), ("NI number: {identity}", 3), ("Social security number {identity} was copied wrongly.", 3), ("NHS number {identity}", 3), ("My national insurance no. is {identity} and I pay tax.", 3), ("Identity: {identity}.", 2), ("SSN {identity}; born 1980.", 2), ("Her health number, {identity}, is new.", 2), ("She entered {identity} in the first field.", 5), ("Please confirm {identity} by Monday.", 2), ("Someone wrote {identity} on the envelope.", 5), ("We copied {identity} from the old form.", 5), ("{identity} is what the clerk typed.", 2),
+    ("[{email}]", 2), ("({email})", 2), ("Write to {name} ({email}) now.", 2), ("cc: {email}, {email}", 2), ("{email} bounced twice.", 3), ("You reach the clinic via {email} at any hour.", 2), ("My inbox, {email}, is full.", 2), ("Subscribe with {email} today", 2),
+    ("Dial {phone} for the night desk.", 3), ("Phone: {phone}", 3), ("Her mobile is {phone} these days.", 3), ("Send a text to {phone} when you arrive.", 3), ("Fax {phone} still works.", 2), ("The pharmacy answers on {phone} until six.", 3), ("Rufen Sie {phone} an.", 1), ("Téléphone : {phone}", 1), ("Su teléfono es {phone} ahora.", 1), ("({phone})", 2), ("Tel. {phone}", 2), ("Tel {phone} or come by.", 2), ("Nobody picks up {phone}, sorry.", 2), ("Just call {phone}!", 2), ("{phone} is engaged all morning.", 2), ("Mobile {phone}, landline {phone}.", 2),
+    ("The file lists {identity} for this patient.", 3), ("NI number: {identity}", 3), ("Social security number {identity} was copied wrongly.", 3), ("NHS number {identity}", 3), ("My national insurance no. is {identity} and I pay tax.", 3), ("Identity: {identity}.", 2), ("SSN {identity}; born 1980.", 2), ("Her health number, {identity}, is new.", 2), ("She entered {identity} in the first field.", 5), ("Please confirm {identity} by Monday.", 2), ("Someone wrote {identity} on the envelope.", 5), ("We copied {identity} from the old form.", 5), ("{identity} is what the clerk typed.", 3), ("Signed up with {identity} in June.", 4),
     ("The parcel goes to {address} on Monday.", 4), ("Home address: {address}", 4), ("They moved from {address} last spring.", 4), ("Her flat at {address} is for sale.", 3), ("Billing address:\n{address}\n", 4), ("Return it to {address}, please.", 3), ("Wohnhaft in {address}.", 1), ("Vive en {address}.", 1), ("J'habite au {address}.", 1), ("Our shop ({address}) is closed.", 2),
     ("{name}, {phone}, {email}", 3), ("{name}\n{address}\n{phone}\n", 4), ("Attn: {name}, {address}", 3), ("Name: {name}; Phone: {phone}; Address: {address}", 3), ("From: {name} <{email}>", 4), ("{name} | {email} | {phone}", 3),
-    ("Dear {name}, your table is booked.", 3), ("Regards, {name}", 3), ("Dr {name} will see you now.", 3), ("The lease was signed by {name} in April.", 4), ("Mrs {name} paid in cash.", 3), ("I met {name} at the conference.", 4), ("Herr {name} wartet schon.", 2), ("Frau {name} ist im Urlaub.", 1), ("La señora {name} llamó ayer.", 2), ("Madame {name} est absente.", 1), ("{name} resigned last week.", 4), ("We hired {name} and two others.", 4), ("according to {name}, it rained.", 3), ("The letter from {name} arrived late.", 3), ("Patient: {name}", 3), ("Is {name} joining us?", 3), ("The winner is {name}!", 3), ("Ask Mr {name} or Ms {name}.", 2), ("{name} and {name} share an office.", 3), ("Only {name} knew.", 3), ("A photo of {name} was found.", 3), ("We let {name} decide.", 3), ("Unser Nachbar {name} grüßt.", 2), ("La casa de {name} es azul.", 2), ("Tomorrow {name} sings.", 3), ("They gave {name} a medal.", 3), ("Thanks, {name}", 2), ("On behalf of {name}, we write.", 2), ("Das Auto gehört {name} seit Mai.", 2), ("Der Bruder von {name} kocht.", 2), ("Das Haus von {name} steht leer.", 2), ("El hermano de {name} cocina.", 2), ("Llame a {name} mañana.", 2), ("Her son {name} plays the flute.", 3), ("On Monday {name} returned.", 3), ("-- {name}", 2), ("\"It works\", said {name}.", 3),
+    ("Dear {name}, your table is booked.", 3), ("Regards, {name}", 3), ("Dr {name} will see you now.", 3), ("The lease was signed by {name} in April.", 4), ("Mrs {name} paid in cash.", 3), ("I met {name} at the conference.", 4), ("Herr {name} wartet schon.", 2), ("Frau {name} ist im Urlaub.", 1), ("La señora {name} llamó ayer.", 2), ("Madame {name} est absente.", 1), ("{name} resigned last week.", 4), ("We hired {name} and two others.", 4), ("according to {name}, it rained.", 3), ("The letter from {name} arrived late.", 3), ("Patient: {name}", 3), ("Is {name} joining us?", 3), ("The winner is {name}!", 3), ("Ask Mr {name} or Ms {name}.", 2), ("{name} and {name} share an office.", 3), ("Only {name} knew.", 3), ("A photo of {name} was found.", 3), ("We let {name} decide.", 3), ("Unser Nachbar {name} grüßt.", 2), ("La casa de {name} es azul.", 2), ("Tomorrow {name} sings.", 3), ("They gave {name} a medal.", 3), ("Thanks, {name}", 2), ("On behalf of {name}, we write.", 2), ("Das Auto gehört {name} seit Mai.", 2), ("Der Bruder von {name} kocht.", 2), ("Das Haus von {name} steht leer.", 2), ("Die Katze von {name} schläft.", 2), ("Der Brief von {name} kam an.", 2), ("Eine Tante von {name} singt.", 2), ("El coche de {name} no arranca.", 2), ("Die Stimme von {name} war leise.", 2), ("La voiture de {name} est rouge.", 2), ("El hermano de {name} cocina.", 2), ("Llame a {name} mañana.", 2), ("Her son {name} plays the flute.", 3), ("On Monday {name} returned.", 3), ("-- {name}", 2), ("\"It works\", said {name}.", 3),
     # decoys: nothing but what is marked counts
     ("Invoice no. {badhealth} is unpaid.", 4), ("Order {badhealth} was packed.", 3), ("Tracking code {goodhealth} is live.", 2), ("Booking no. {goodhealth} is confirmed.", 2), ("Case {goodhealth} was closed.", 1), ("Release {build} is out.", 4), ("Ref. {nino} is archived.", 4), ("Part number {nino} is sold out.", 3), ("Batch {long} failed.", 4), ("Serial {long}.", 3), ("Patient number {badhealth} does not exist.", 3), ("ISBN 978-3-16-{six}-0 is a novel.", 2), ("From 2021-05-17 to 2021-06-30.", 2), ("Doors 19:30 2{one}/0{one}/202{one}, seat {two}.", 3), ("On 1{one}.0{one}.199{one} 20{two} came.", 2), ("Paid 1{one}-0{one}-2019 08{two}.", 2), ("The server is 192.168.10.{two}.", 2), ("Population: 1 {two}0 345 678.", 2),
     ("Follow @{low}_{two} for updates.", 3), ("Eggs 2.40 @ market, 1.99 @ farm.", 3), ("He excels at work dot com or not.", 3), ("We stayed at town dot net cafes.", 3), ("Prices at shop dot org were fair.", 2), ("Look at this dot plot there.", 2),
     ("The {two} {street} Road buses were late.", 3), ("The {street} Avenue bridge is shut.", 3), ("{street} Street was quiet.", 3), ("We walked {two} miles on the way to town.", 3), ("{two} people in the park sang.", 3), ("About {two} cars a day use the old road here.", 3), ("The {street} Terrace café is loud.", 2), ("After {two} minutes he took first place.", 3), ("In round {two} they lost their way.", 2), ("Nach {two} Minuten war der Weg frei.", 2),
-    ("{place} and {place} are twinned.", 4), ("{pair} is warm in June.", 2), ("A letter from {pair} came.", 2), ("Yesterday {Family} won.", 2), ("Unsere Firma {Family} wächst.", 1), ("{company} hired {two} clerks.", 5), ("The {company} sale.", 3), ("Der Alte Markt und die Neue Brücke.", 2), ("Die Deutsche Bank zahlt.", 1), ("El Banco Central y la Gran Vía.", 2), ("Central Park, Wall Street and Times Square.", 2), ("North Gate and South Gate are shut.", 2), ("Victoria Park and Albert Bridge.", 2), ("He works for {company} in {place}.", 5), ("{place} {body} met {place} {body} again.", 5), ("{made} {body} won the tender.", 5), ("{made} {body} against {made} {body} was dull.", 4), ("Fans of {made} {body} sang.", 4), ("{Given} laughed.", 4), ("{Family} was late.", 3), ("{Given}, the plumber, left.", 3), ("So {Given} and {Given} agreed.", 3), ("Gegen {made} war der Ball rund.", 3), ("Ohne {Family} geht die Firma unter.", 3), ("Nach {made} fährt ein Bus, die Karte kostet wenig.", 2), ("Para {Family} la noche fue larga.", 2), ("Before {made} {body}, {Family} slept.", 3), ("With {Family} away, {Given} cooks.", 3), ("Under {Family} the firm grew.", 2), ("From {made}, {two} buses run.", 2), ("Tell {Given} about it.", 2), ("{Family} and {Family} agreed, {Family} did not.", 3), ("On Good Friday the Royal Mail rests.", 2), ("New Zealand beat South Africa.", 2), ("Happy Birthday, {Given}!", 2), ("Merry Christmas and a Happy New Year!", 2), ("See Chapter Two, Section Four.", 2), ("United Nations, World Bank, Red Cross.", 2), ("The Daily Telegraph and the Sunday Times.", 2),
+    ("{place} and {place} are twinned.", 4), ("{pair} is warm in June.", 2), ("A letter from {pair} came.", 2), ("Yesterday {Family} won.", 2), ("Unsere Firma {Family} wächst.", 1), ("{company} hired {two} clerks.", 5), ("The {company} sale.", 3), ("Der Alte Markt und die Neue Brücke.", 2), ("Die Deutsche Bank zahlt.", 2), ("Der Blaue Reiter und die Grüne Woche.", 2), ("Apple Music and Adobe Reader.", 2), ("Hyper Text and Open Source.", 1), ("El Banco Central y la Gran Vía.", 2), ("Central Park, Wall Street and Times Square.", 2), ("North Gate and South Gate are shut.", 2), ("Victoria Park and Albert Bridge.", 2), ("He works for {company} in {place}.", 5), ("{place} {body} met {place} {body} again.", 5), ("{made} {body} won the tender.", 5), ("{made} {body} against {made} {body} was dull.", 4), ("Fans of {made} {body} sang.", 4), ("{made} {body} {made} {body} at noon.", 3), ("{made} {body}\n{made} {body} moved.", 3), ("They left {made} {body}\n{Given} slept.", 2), ("Nobody at {made} {body} knew.", 3), ("{made} {body} and {made} {body} merged with {company}.", 2), ("{Given} laughed.", 4), ("{Family} was late.", 3), ("{Given}, the plumber, left.", 3), ("So {Given} and {Given} agreed.", 3), ("Gegen {made} war der Ball rund.", 3), ("Ohne {Family} geht die Firma unter.", 3), ("Nach {made} fährt ein Bus, die Karte kostet wenig.", 2), ("Para {Family} la noche fue larga.", 2), ("Before {made} {body}, {Family} slept.", 3), ("With {Family} away, {Given} cooks.", 3), ("Under {Family} the firm grew.", 2), ("From {made}, {two} buses run.", 2), ("Tell {Given} about it.", 2), ("{Family} and {Family} agreed, {Family} did not.", 3), ("On Good Friday the Royal Mail rests.", 2), ("New Zealand beat South Africa.", 2), ("Happy Birthday, {Given}!", 2), ("Merry Christmas and a Happy New Year!", 2), ("See Chapter Two, Section Four.", 2), ("United Nations, World Bank, Red Cross.", 2), ("The Daily Telegraph and the Sunday Times.", 2),
 ]
 BODY = ["United", "City", "Rovers", "Town", "Athletic", "Bank", "Council", "Museum", "School", "Ltd", "Wanderers", "Station", "Rangers", "County", "Albion", "Group"]
 
@@ -218,13 +218,18 @@ def build(given: list[str], family: list[str], n: int = 4800, seed: int = 7) ->
                     put({
                         "badhealth": lambda: _health(r, False), "goodhealth": lambda: _health(r, True), "nino": lambda: _nino(r),
                         "build": lambda: f"0{_digits(r, 2)}.{_digits(r, 2)}.{_digits(r, 2)}-{_digits(r, 2)}", "six": lambda: _digits(r, 6),
-                        "long": lambda: _digits(r, r.randint(9, 13)), "two": lambda: str(r.randint(2, 99)), "one": lambda: str(r.randint(1, 9)), "low": lambda: plain(g),
+                        "long": lambda: str(r.randint(1, 9)) + _digits(r, r.randint(8, 12)), "two": lambda: str(r.randint(2, 99)), "one": lambda: str(r.randint(1, 9)), "low": lambda: plain(g),
                         "street": lambda: r.choice(STREETS), "place": lambda: r.choice(PLACES), "company": lambda: r.choice(COMPANIES), "body": lambda: r.choice(BODY), "pair": lambda: r.choice(PAIRS),
                         "made": made, "Given": lambda: r.choice(gs), "Family": lambda: r.choice(fs),
                     }[slot]())
             put(rest + r.choice([" ", "\n"]) + r.choice(["", r.choice(FILLER)]) + " ")
         u = r.random()
-        if u < 0.05 and len(text.upper()) == len(text):  # some texts are all capitals
+        if u > 0.9:  # some have lost their points
+            kept = [k for k, c in enumerate(text) if c not in ".!?;" or any(a <= k < b for a, b, _ in gold)]
+            at = {k: n for n, k in enumerate(kept)} | {len(text): len(kept)}
+            gold = {(at[a], at[b - 1] + 1, kind) for a, b, kind in gold}
+            text = "".join(text[k] for k in kept)
+        if u < 0.1 and len(text.upper()) == len(text):  # some texts are all capitals
             text = text.upper()
         out.append((text, gold))
     return out

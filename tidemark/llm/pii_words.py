@@ -64,6 +64,13 @@ BODIES = frozenset(
     "times post news herald journal press act law st rd ave blvd ln ct plaza".split()
 )
 
+# Little words of other languages that begin sentences.
+LITTLE = frozenset(
+    "contra ante con sin para por desde hasta entre sobre según tras pero como cuando el la los las un una al del "
+    "gegen ohne nach vor mit bei von zu aus seit während trotz wegen über unter zwischen aber wenn der die das ein eine im am beim vom "
+    "avec sans pour contre chez dans sous sur mais quand le les une des au aux".split()
+)
+
 # Places whose names look like those of people, and other places.
 PLACES = (
     "London Paris Berlin Madrid Rome Vienna Dublin Manchester Liverpool Leeds Bristol Sheffield Newcastle Glasgow Edinburgh Cardiff Belfast York "
