@@ -165,6 +165,9 @@ class NameModel:
         """(given likeness, family likeness, in the given stock, in the family stock, class) of a written word."""
         s = self.cache.get(word)
         if s is None:
+            written = word
+            if not word.isascii():
+                word = unicodedata.normalize("NFKC", word).translate(LOOKALIKES)
             parts = [p for p in re.split(r"['’-]", fold(word)) if len(p) > 1] or [fold(word)]
             g, f = [], []
             for p in parts:
@@ -176,7 +179,7 @@ class NameModel:
             s = (max(g), min(f), any(p in self.stock[0] for p in parts), all(p in self.stock[1] for p in parts), kind)
             if len(self.cache) > 300_000:
                 self.cache.clear()
-            self.cache[word] = s
+            self.cache[written] = s
         return s
 
     def likely_given(self, chunk: str) -> tuple[str, ...]:

@@ -52,8 +52,8 @@ def _email(r: random.Random, g: str, f: str) -> str:
         f"team.{r.choice(ROLES)}{r.randint(1, 99)}", f"{r.choice(ROLES)}{r.randint(1, 99)}", r.choice(ROLES), f"{r.choice(ROLES)}-{r.choice(ROLES)}{r.randint(1, 99)}",
     ])
     at, dot = r.choice([("@", ".")] * 7 + [(" @ ", "."), (" [at] ", " [dot] "), (" at ", " dot "), (" at ", " dot "), (" at ", " dot "), ("(at)", "."), ("[at]", "."), (" (at) ", " (dot) "), ("(at)", "(dot)"), (" {at} ", ".")])
-    if at == " at " and local in ROLES:
-        local = f"{g}{r.randint(1, 99)}"
+    if at == " at ":
+        local = r.choice([f"{g}{r.randint(1, 99)}", f"{g[0]}{f}", f"{g[0]}{f}", local.replace("-", "") if local not in ROLES else f])
     s = local + at + (r.choice(HOSTS) + "." + r.choice(TLDS)).replace(".", dot)
     return s.upper() if r.random() < 0.08 else s
 
@@ -229,7 +229,7 @@ def build(given: list[str], family: list[str], n: int = 4800, seed: int = 7) ->
             at = {k: n for n, k in enumerate(kept)} | {len(text): len(kept)}
             gold = {(at[a], at[b - 1] + 1, kind) for a, b, kind in gold}
             text = "".join(text[k] for k in kept)
-        if u < 0.1 and len(text.upper()) == len(text):  # some texts are all capitals
+        if u < 0.16 and len(text.upper()) == len(text):  # some texts are all capitals
             text = text.upper()
         out.append((text, gold))
     return out
