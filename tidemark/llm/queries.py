@@ -29,6 +29,11 @@ def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p7_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs in which an item's template stands with its numbers, names and units consistently replaced."""
+    return p7_leaks(spark, sf_dir).filter("kind = 'reparameterised'").select("doc_id", "item_id", "template_coverage", "slot_consistency", "slots_same")
+
+
 def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which evaluation items leaked, and into how many documents."""
     return p7_leaks(spark, sf_dir).groupBy("item_id").agg(
@@ -152,6 +157,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p7_found": (p7_found, None),
     "p7_leaks": (p7_leaks, None),
+    "p7_reparameterised": (p7_reparameterised, None),
     "p7_items": (p7_items, None),
     "p8_found": (p8_found, None),
     "p8_plan": (p8_plan, None),
