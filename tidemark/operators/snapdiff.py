@@ -1,43 +1,34 @@
 """What changed between consecutive full snapshots, found through Merkle-tree digests.
 
-Keys fall into hash buckets (the leaves of a tree of given fanout and depth). Digests are
-computed bottom-up for every snapshot, compared top-down between consecutive snapshots, and
-rows are compared only in leaves whose digests differ.
+Keys fall into hash buckets (the leaves of a tree of given fanout, as deep as the number of keys asks). The
+leaves' digests are computed where the rows are read, by partial aggregation; parents' digests follow from their
+children's; digests are compared top-down between consecutive snapshots, and only rows of leaves whose digests differ
+are read again and compared.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.engine.scale import broadcast_if_small
+from tidemark.engine.scale import BROADCAST_ROWS, broadcast_if_small
 from tidemark.engine.session import ensure_checkpoint_dir
 
+#: Keys a leaf should hold about; more make digests fewer and rows read again more.
+LEAF_KEYS = 4
 
-def _digests(rows: DataFrame, group: list[str], child: list[str]) -> DataFrame:
-    """An order-free digest per group: xor and wrapped sum of 64-bit hashes, and the count."""
-    h = F.xxhash64(*child)
-    return rows.groupBy(*group).agg(
-        F.bit_xor(h).alias("dx"),
-        F.sum(F.shiftright(h, 20)).alias("ds"),
-        F.count("*").alias("dn"),
-    )
 
+def _digest(h: Column) -> Column:
+    """An order-free digest of hashes: their xor, their wrapped sum and their number, in one 64-bit value."""
+    return F.xxhash64(F.bit_xor(h), F.sum(F.shiftright(h, 20)), F.count(F.lit(1)))
 
-def _differing(nodes: DataFrame, group: list[str], last_seq: DataFrame) -> DataFrame:
-    """(group, seq, node) of each pair (seq - 1, seq) whose digests differ or of which one is missing."""
-    cols = [*group, "seq", "node", "dx", "ds", "dn"]
-    cur = nodes.select(*cols, F.lit(1).alias("side"))
-    prev = nodes.select(*cols, F.lit(0).alias("side")).withColumn("seq", F.col("seq") + 1)
-    both = cur.unionByName(prev).groupBy(*group, "seq", "node").agg(
-        F.count("*").alias("n"),
-        *[F.min(c).alias(f"{c}0") for c in ("dx", "ds", "dn")],
-        *[F.max(c).alias(f"{c}1") for c in ("dx", "ds", "dn")],
-    )
-    same = (F.col("n") == 2) & (F.col("dx0") == F.col("dx1")) & (F.col("ds0") == F.col("ds1")) & (F.col("dn0") == F.col("dn1"))
-    return both.filter(~same).join(last_seq, group).filter((F.col("seq") > 0) & (F.col("seq") <= F.col("last_seq"))).select(
-        *group, "seq", "node"
-    )
+
+def _differing(nodes: DataFrame, group: list[str]) -> DataFrame:
+    """(group, seq, node) of each pair (seq - 1, seq) whose digests differ or of which one is missing. ``last`` bounds seq."""
+    both = nodes.select(*group, "node", "last", "dg", F.explode(F.array(F.struct("seq", F.lit(True).alias("now")), F.struct((F.col("seq") + 1).alias("seq"), F.lit(False).alias("now")))).alias("p"))
+    both = both.select(*group, "node", "last", "dg", "p.*").filter("seq > 0 and seq <= last")
+    both = both.groupBy(*group, "seq", "node").agg(F.count("*").alias("n"), F.min("dg").alias("d0"), F.max("dg").alias("d1"))
+    return both.filter("n < 2 or d0 <> d1").select(*group, "seq", "node")
 
 
 def merkle_diff(
@@ -49,7 +40,7 @@ def merkle_diff(
     key: str,
     value: str,
     fanout: int = 16,
-    depth: int = 2,
+    depth: int | None = None,
 ) -> DataFrame:
     """Keys added, removed or changed between consecutive snapshots of a group.
 
@@ -58,54 +49,51 @@ def merkle_diff(
     result has group, snapshot (the later one), key, change, old_value and new_value. A group's
     first snapshot reports nothing; a listed snapshot without rows is an empty list. Rows with a
     NULL key are ignored; a NULL value is a value. Of repeated keys in one snapshot the greatest
-    value counts (repeats that agree are harmless).
+    value counts.
 
-    ``fanout ** depth`` leaves should give tens to thousands of keys a leaf. The hot group is
-    spread over its leaves; digests of all levels are computed by partial aggregation. The rows
-    of the compared snapshots, the leaves' digests and the differing nodes of each level are
-    checkpointed, so that a level's plan doesn't hold all plans above it.
+    Digests are of the rows as delivered, so equal digests mean equal contents, and a leaf in which only repeats
+    differ is merely compared in vain. The tree has ``fanout ** depth`` leaves of about LEAF_KEYS keys by
+    default (the largest snapshot is counted first). Leaves' digests are aggregated before they are shuffled, a
+    hot group is spread over its leaves. The leaves' digests, which serve both comparisons of a snapshot,
+    and the differing leaves are checkpointed; rows are read twice and never written.
     """
-    leaves = fanout**depth
     w = Window.partitionBy(*group).orderBy(order, snapshot)
-    seqs = snapshots.select(*group, snapshot, order).withColumn("seq", F.row_number().over(w).cast("long") - 1)
-    seqs = broadcast_if_small(seqs.select(*group, snapshot, "seq"))
-    last_seq = broadcast_if_small(seqs.groupBy(*group).agg(F.max("seq").alias("last_seq")))
-
-    held = (
-        rows.filter(F.col(key).isNotNull())
-        .select(*group, snapshot, F.col(key).alias("k"), F.col(value).alias("v"))
-        .join(seqs, [*group, snapshot])
-        .withColumn("leaf", F.pmod(F.xxhash64("k"), F.lit(leaves)))
-        .groupBy(*group, "seq", "leaf", "k")
-        .agg(F.max("v").alias("v"))
-    )
+    seqs = snapshots.select(*group, snapshot, order).withColumn("seq", F.row_number().over(w).cast("int") - 1)
+    seqs = seqs.withColumn("last", F.count("*").over(Window.partitionBy(*group)).cast("int") - 1)
+    seqs = broadcast_if_small(seqs.select(*group, snapshot, "seq", "last"))
+    rows = rows.filter(F.col(key).isNotNull()).select(*group, snapshot, F.col(key).alias("k"), F.col(value).alias("v"))
+    if depth is None:
+        most = rows.groupBy(*group, snapshot).count().agg(F.max("count").alias("n")).first().n or 1
+        depth = 1
+        while fanout**depth * LEAF_KEYS < most:
+            depth += 1
+    leaf = F.pmod(F.xxhash64("k"), F.lit(fanout**depth)).cast("int" if fanout**depth < 2**31 else "long")
+    held = rows.withColumn("node", leaf).join(seqs, [*group, snapshot])
     ensure_checkpoint_dir(rows.sparkSession)
-    held = held.checkpoint()  # read by the digests and twice by the row diff
-    # bottom-up: leaves from rows, parents from children
-    level = _digests(held.withColumn("node", F.col("leaf")), [*group, "seq", "node"], ["k", "v"]).checkpoint()
+    level = held.groupBy(*group, "seq", "last", "node").agg(_digest(F.xxhash64("k", F.col("v").isNull(), "v")).alias("dg")).checkpoint()
     levels = [level]
-    for _ in range(depth):
-        parent = level.withColumn("child", F.col("node")).withColumn("node", F.floor(F.col("node") / fanout))
-        level = _digests(parent, [*group, "seq", "node"], ["child", "dx", "ds", "dn"])
+    for _ in range(depth - 1):  # bottom-up: parents' digests from their children's
+        level = level.withColumn("child", F.col("node")).withColumn("node", F.floor(F.col("node") / fanout))
+        level = level.groupBy(*group, "seq", "last", "node").agg(_digest(F.xxhash64("child", "dg")).alias("dg"))
         levels.append(level)
-    # top-down: only children of differing nodes are compared at the next level
-    differing = _differing(levels[-1], group, last_seq).checkpoint()
-    for nodes in reversed(levels[:-1]):
+    differing = _differing(levels[-1], group)
+    for nodes in reversed(levels[:-1]):  # top-down: only children of differing nodes are compared
         parents = differing.withColumnRenamed("node", "parent")
-        below = nodes.withColumn("parent", F.floor(F.col("node") / fanout))
         wanted = parents.unionByName(parents.withColumn("seq", F.col("seq") - 1)).distinct()
-        differing = _differing(below.join(wanted, [*group, "seq", "parent"], "left_semi"), group, last_seq).withColumn(
-            "parent", F.floor(F.col("node") / fanout)
-        ).join(parents, [*group, "seq", "parent"], "left_semi").drop("parent").checkpoint()
-
-    leaf_pairs = differing.withColumnRenamed("node", "leaf")
-    cur = held.join(leaf_pairs, [*group, "seq", "leaf"], "left_semi").withColumn("side", F.lit(1))
-    prev = held.withColumn("seq", F.col("seq") + 1).join(leaf_pairs, [*group, "seq", "leaf"], "left_semi").withColumn("side", F.lit(0))
-    both = cur.unionByName(prev).groupBy(*group, "seq", "leaf", "k").agg(
-        F.max(F.col("side") == 1).alias("now"),
-        F.max(F.col("side") == 0).alias("was"),
-        F.max(F.when(F.col("side") == 1, F.col("v"))).alias("new_value"),
-        F.max(F.when(F.col("side") == 0, F.col("v"))).alias("old_value"),
+        below = nodes.withColumn("parent", F.floor(F.col("node") / fanout)).join(wanted, [*group, "seq", "parent"], "left_semi")
+        below = _differing(below, group).withColumn("parent", F.floor(F.col("node") / fanout))
+        differing = below.join(parents, [*group, "seq", "parent"], "left_semi").select(*group, "seq", "node")
+    # which of its two comparisons a leaf of a snapshot takes part in
+    leaves = differing.withColumn("as_new", F.lit(True)).unionByName(differing.select(*group, (F.col("seq") - 1).alias("seq"), "node", F.lit(False).alias("as_new")))
+    leaves = leaves.groupBy(*group, "seq", "node").agg(F.max("as_new").alias("as_new"), (~F.min("as_new")).alias("as_old")).checkpoint()
+    again = held.join(broadcast_if_small(leaves, 2 * BROADCAST_ROWS), [*group, "seq", "node"])
+    sides = F.array_compact(
+        F.array(F.when(F.col("as_new"), F.struct("seq", F.lit(True).alias("now"))), F.when(F.col("as_old"), F.struct((F.col("seq") + 1).alias("seq"), F.lit(False).alias("now"))))
+    )
+    again = again.select(*group, "k", "v", F.explode(sides).alias("p")).select(*group, "k", "v", "p.*")
+    new, old = F.col("now"), ~F.col("now")
+    both = again.groupBy(*group, "seq", "k").agg(
+        F.max(new).alias("now"), F.max(old).alias("was"), F.max(F.when(new, F.col("v"))).alias("new_value"), F.max(F.when(old, F.col("v"))).alias("old_value")
     )
     change = (
         F.when(F.col("now") & ~F.col("was"), "added")

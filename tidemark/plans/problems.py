@@ -188,7 +188,7 @@ def price_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "bootstrap_element").select(
         "season", "run_id", "id", F.expr("try_cast(trim(now_cost) as decimal(18,4))").alias("cost")
     )
-    return merkle_diff(rows, runs, ["season"], "run_id", "at", "id", "cost", fanout=8, depth=2)
+    return merkle_diff(rows, runs, ["season"], "run_id", "at", "id", "cost")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
