@@ -238,3 +238,13 @@ def test_current_rows_and_broadcast_bound(spark, rows):
     assert rows(current_rows(df, ["k"], [F.desc_nulls_last("t")])) == [(1, 7, "b"), (2, None, "d"), (None, 1, "c")]
     assert "broadcast" in broadcast_if_small(df)._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" not in broadcast_if_small(df, 2)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_merkle_diff_sees_repeats_and_hot_keys(spark, rows):
+    """Rows given twice don't cancel out, and a hot key's repeats may overflow the digest's sum."""
+    runs = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (1, 12, 3)], "grp long, run long, at long")
+    twice = [(1, 10, 7, 5), (1, 10, 7, 5), (1, 11, 7, 6), (1, 11, 7, 6), (1, 12, 7, 6), (1, 12, 7, 6), (1, 12, 7, 6)]
+    df = spark.createDataFrame(twice, "grp long, run long, id long, v long")
+    assert rows(merkle_diff(df, runs, ["grp"], "run", "at", "id", "v")) == [(1, 11, 7, "changed", 5, 6)]
+    hot = df.filter("run < 12").distinct().selectExpr("*", "explode(sequence(1, 60000)) as n").drop("n")
+    assert rows(merkle_diff(hot, runs.filter("run < 12"), ["grp"], "run", "at", "id", "v", depth=1)) == [(1, 11, 7, "changed", 5, 6)]

@@ -19,16 +19,20 @@ LEAF_KEYS = 4
 
 
 def _digest(h: Column) -> Column:
-    """An order-free digest of hashes: their xor, their wrapped sum and their number, in one 64-bit value."""
-    return F.xxhash64(F.bit_xor(h), F.sum(F.shiftright(h, 20)), F.count(F.lit(1)))
+    """An order-free digest of hashes: their sum and number. Unlike a xor it keeps rows that come twice; NULL, which differs from
+    everything, where a hot key's repeats overflow it."""
+    return F.struct(F.try_sum(F.shiftright(h, 12)).alias("s"), F.count(F.lit(1)).alias("n"))
 
 
-def _differing(nodes: DataFrame, group: list[str]) -> DataFrame:
-    """(group, seq, node) of each pair (seq - 1, seq) whose digests differ or of which one is missing. ``last`` bounds seq."""
-    both = nodes.select(*group, "node", "last", "dg", F.explode(F.array(F.struct("seq", F.lit(True).alias("now")), F.struct((F.col("seq") + 1).alias("seq"), F.lit(False).alias("now")))).alias("p"))
-    both = both.select(*group, "node", "last", "dg", "p.*").filter("seq > 0 and seq <= last")
-    both = both.groupBy(*group, "seq", "node").agg(F.count("*").alias("n"), F.min("dg").alias("d0"), F.max("dg").alias("d1"))
-    return both.filter("n < 2 or d0 <> d1").select(*group, "seq", "node")
+def _differing(nodes: DataFrame, group: list[str], seqs: DataFrame) -> DataFrame:
+    """(group, seq, node) of each pair (seq - 1, seq) whose digests differ or of which one is missing: one shuffle by node."""
+    w = Window.partitionBy(*group, "node").orderBy("seq")
+    x = nodes.select(*group, "seq", "node", "dg", F.lag("seq").over(w).alias("p"), F.lag("dg").over(w).alias("pd"), F.lead("seq").over(w).alias("nx"))
+    x = x.join(seqs.select(*group, "seq", "last"), [*group, "seq"])
+    same = (F.col("p") == F.col("seq") - 1) & (F.col("dg.s") == F.col("pd.s")) & (F.col("dg.n") == F.col("pd.n"))
+    changed = F.when((F.col("seq") > 0) & ~F.coalesce(same, F.lit(False)), F.col("seq"))
+    gone = F.when((F.col("seq") < F.col("last")) & ~F.coalesce(F.col("nx") == F.col("seq") + 1, F.lit(False)), F.col("seq") + 1)
+    return x.select(*group, "node", F.explode(F.array_compact(F.array(changed, gone))).alias("seq")).select(*group, "seq", "node")
 
 
 def merkle_diff(
@@ -60,7 +64,7 @@ def merkle_diff(
     w = Window.partitionBy(*group).orderBy(order, snapshot)
     seqs = snapshots.select(*group, snapshot, order).withColumn("seq", F.row_number().over(w).cast("int") - 1)
     seqs = seqs.withColumn("last", F.count("*").over(Window.partitionBy(*group)).cast("int") - 1)
-    seqs = broadcast_if_small(seqs.select(*group, snapshot, "seq", "last"))
+    seqs = broadcast_if_small(seqs.select(*group, snapshot, "seq", "last"))  # one row per snapshot
     rows = rows.filter(F.col(key).isNotNull()).select(*group, snapshot, F.col(key).alias("k"), F.col(value).alias("v"))
     if depth is None:
         most = rows.groupBy(*group, snapshot).count().agg(F.max("count").alias("n")).first().n or 1
@@ -70,18 +74,20 @@ def merkle_diff(
     leaf = F.pmod(F.xxhash64("k"), F.lit(fanout**depth)).cast("int" if fanout**depth < 2**31 else "long")
     held = rows.withColumn("node", leaf).join(seqs, [*group, snapshot])
     ensure_checkpoint_dir(rows.sparkSession)
-    level = held.groupBy(*group, "seq", "last", "node").agg(_digest(F.xxhash64("k", F.col("v").isNull(), "v")).alias("dg")).checkpoint()
+    level = held.groupBy(*group, "seq", "node").agg(_digest(F.xxhash64("k", F.col("v").isNull(), "v")).alias("dg")).checkpoint()
     levels = [level]
     for _ in range(depth - 1):  # bottom-up: parents' digests from their children's
         level = level.withColumn("child", F.col("node")).withColumn("node", F.floor(F.col("node") / fanout))
-        level = level.groupBy(*group, "seq", "last", "node").agg(_digest(F.xxhash64("child", "dg")).alias("dg"))
+        known = F.when(F.col("dg.s").isNotNull(), F.xxhash64("child", "dg.s", "dg.n"))
+        level = level.groupBy(*group, "seq", "node").agg(_digest(known).alias("dg"), F.count_if(known.isNull()).alias("lost"))
+        level = level.withColumn("dg", F.when(F.col("lost") == 0, F.col("dg"))).drop("lost")
         levels.append(level)
-    differing = _differing(levels[-1], group)
+    differing = _differing(levels[-1], group, seqs)
     for nodes in reversed(levels[:-1]):  # top-down: only children of differing nodes are compared
-        parents = differing.withColumnRenamed("node", "parent")
+        parents = differing.withColumnRenamed("node", "parent").checkpoint()
         wanted = parents.unionByName(parents.withColumn("seq", F.col("seq") - 1)).distinct()
         below = nodes.withColumn("parent", F.floor(F.col("node") / fanout)).join(wanted, [*group, "seq", "parent"], "left_semi")
-        below = _differing(below, group).withColumn("parent", F.floor(F.col("node") / fanout))
+        below = _differing(below, group, seqs).withColumn("parent", F.floor(F.col("node") / fanout))
         differing = below.join(parents, [*group, "seq", "parent"], "left_semi").select(*group, "seq", "node")
     # which of its two comparisons a leaf of a snapshot takes part in
     leaves = differing.withColumn("as_new", F.lit(True)).unionByName(differing.select(*group, (F.col("seq") - 1).alias("seq"), "node", F.lit(False).alias("as_new")))
