@@ -18,10 +18,11 @@ from tidemark.engine.session import ensure_checkpoint_dir
 LEAF_KEYS = 4
 
 
-def _digest(h: Column) -> Column:
-    """An order-free digest of hashes: their sum and number. Unlike a xor it keeps rows that come twice; NULL, which differs from
-    everything, where a hot key's repeats overflow it."""
-    return F.struct(F.try_sum(F.shiftright(h, 12)).alias("s"), F.count(F.lit(1)).alias("n"))
+def _digest(nodes: DataFrame, by: list[str], h: Column) -> DataFrame:
+    """An order-free digest ``dg`` of the hashes ``h`` of each group: of their sum and number. Unlike a xor it keeps rows that come
+    twice. It is NULL, which differs from everything, where a hash is or where a hot key's repeats overflow the sum."""
+    got = nodes.withColumn("__h", h).groupBy(*by).agg(F.try_sum(F.shiftright("__h", 12)).alias("s"), F.count(F.lit(1)).alias("n"), F.count("__h").alias("m"))
+    return got.select(*by, F.when(F.col("s").isNotNull() & (F.col("n") == F.col("m")), F.xxhash64("s", "n")).alias("dg"))
 
 
 def _differing(nodes: DataFrame, group: list[str], seqs: DataFrame) -> DataFrame:
@@ -29,7 +30,7 @@ def _differing(nodes: DataFrame, group: list[str], seqs: DataFrame) -> DataFrame
     w = Window.partitionBy(*group, "node").orderBy("seq")
     x = nodes.select(*group, "seq", "node", "dg", F.lag("seq").over(w).alias("p"), F.lag("dg").over(w).alias("pd"), F.lead("seq").over(w).alias("nx"))
     x = x.join(seqs.select(*group, "seq", "last"), [*group, "seq"])
-    same = (F.col("p") == F.col("seq") - 1) & (F.col("dg.s") == F.col("pd.s")) & (F.col("dg.n") == F.col("pd.n"))
+    same = (F.col("p") == F.col("seq") - 1) & (F.col("dg") == F.col("pd"))
     changed = F.when((F.col("seq") > 0) & ~F.coalesce(same, F.lit(False)), F.col("seq"))
     gone = F.when((F.col("seq") < F.col("last")) & ~F.coalesce(F.col("nx") == F.col("seq") + 1, F.lit(False)), F.col("seq") + 1)
     return x.select(*group, "node", F.explode(F.array_compact(F.array(changed, gone))).alias("seq")).select(*group, "seq", "node")
@@ -74,23 +75,22 @@ def merkle_diff(
     leaf = F.pmod(F.xxhash64("k"), F.lit(fanout**depth)).cast("int" if fanout**depth < 2**31 else "long")
     held = rows.withColumn("node", leaf).join(seqs, [*group, snapshot])
     ensure_checkpoint_dir(rows.sparkSession)
-    level = held.groupBy(*group, "seq", "node").agg(_digest(F.xxhash64("k", F.col("v").isNull(), "v")).alias("dg")).checkpoint()
+    level = _digest(held, [*group, "seq", "node"], F.xxhash64("k", F.col("v").isNull(), "v")).checkpoint()
     levels = [level]
     for _ in range(depth - 1):  # bottom-up: parents' digests from their children's
-        level = level.withColumn("child", F.col("node")).withColumn("node", F.floor(F.col("node") / fanout))
-        known = F.when(F.col("dg.s").isNotNull(), F.xxhash64("child", "dg.s", "dg.n"))
-        level = level.groupBy(*group, "seq", "node").agg(_digest(known).alias("dg"), F.count_if(known.isNull()).alias("lost"))
-        level = level.withColumn("dg", F.when(F.col("lost") == 0, F.col("dg"))).drop("lost")
+        child = F.when(F.col("dg").isNotNull(), F.xxhash64("child", "dg"))
+        level = _digest(level.withColumnRenamed("node", "child").withColumn("node", F.floor(F.col("child") / fanout)), [*group, "seq", "node"], child)
         levels.append(level)
     differing = _differing(levels[-1], group, seqs)
     for nodes in reversed(levels[:-1]):  # top-down: only children of differing nodes are compared
         parents = differing.withColumnRenamed("node", "parent").checkpoint()
-        wanted = parents.unionByName(parents.withColumn("seq", F.col("seq") - 1)).distinct()
+        wanted = parents.select(*group, "parent", F.explode(F.array("seq", F.col("seq") - 1)).alias("seq")).distinct()
         below = nodes.withColumn("parent", F.floor(F.col("node") / fanout)).join(wanted, [*group, "seq", "parent"], "left_semi")
         below = _differing(below, group, seqs).withColumn("parent", F.floor(F.col("node") / fanout))
         differing = below.join(parents, [*group, "seq", "parent"], "left_semi").select(*group, "seq", "node")
     # which of its two comparisons a leaf of a snapshot takes part in
-    leaves = differing.withColumn("as_new", F.lit(True)).unionByName(differing.select(*group, (F.col("seq") - 1).alias("seq"), "node", F.lit(False).alias("as_new")))
+    parts = F.array(F.struct("seq", F.lit(True).alias("as_new")), F.struct((F.col("seq") - 1).alias("seq"), F.lit(False).alias("as_new")))
+    leaves = differing.select(*group, "node", F.explode(parts).alias("p")).select(*group, "node", "p.*")
     leaves = leaves.groupBy(*group, "seq", "node").agg(F.max("as_new").alias("as_new"), (~F.min("as_new")).alias("as_old")).checkpoint()
     again = held.join(broadcast_if_small(leaves, 2 * BROADCAST_ROWS), [*group, "seq", "node"])
     sides = F.array_compact(
