@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from tidemark.engine.scale import broadcast_if_small, spread
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Longest piece handed to the tokenizer at once; longer texts are cut at white space.
+#: Characters handed to the tokenizer at once at least; longer texts are cut where a token begins anyway.
 PIECE = 20_000
+#: One blank between other characters: every token pattern used here begins a token with it.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 _CACHE: dict[str, object] = {}
 
@@ -45,13 +47,12 @@ def tokenizer(path: str):
 
 
 def pieces(text: str) -> Iterator[str]:
-    """The whole text in pieces of at most PIECE characters, cut before white space where there is any."""
+    """The whole text in pieces whose tokens are the text's: cut only before a lone blank, after at least PIECE characters.
+    A text without such a place is one piece."""
     i = 0
-    while len(text) - i > PIECE:
-        cut = max(text.rfind(" ", i + 1, i + PIECE), text.rfind("\n", i + 1, i + PIECE))
-        cut = cut if cut > i else i + PIECE
-        yield text[i:cut]
-        i = cut
+    while len(text) - i > PIECE and (m := _CUT.search(text, i + PIECE)):
+        yield text[i : m.start()]
+        i = m.start()
     yield text[i:]
 
 
@@ -104,6 +105,17 @@ def exponent_for_entropy(shares: list[float], target: float) -> float:
     return bisect(lambda a: entropy(exponentiated(shares, a)) >= target, 0.0, 8.0)
 
 
+def capped(weights: list[float], most: list[float], total: float) -> list[float]:
+    """Budgets in proportion to the weights that make up the total, none above its ``most``: each is min(most, λ × weight) with
+    λ bisected; all of ``most`` if even that falls short."""
+    use = [c if w > 0 else 0.0 for w, c in zip(weights, most, strict=True)]
+    if sum(use) <= total:
+        return use
+    spent = lambda k: sum(min(c, k * w) for w, c in zip(weights, use, strict=True))
+    k = bisect(lambda x: spent(x) <= total, 0.0, max(c / w for w, c in zip(weights, use, strict=True) if w > 0), 200)
+    return [min(c, k * w) for w, c in zip(weights, use, strict=True)]
+
+
 @dataclass(frozen=True)
 class Source:
     source: str
@@ -124,7 +136,8 @@ def plan_mix(
 
     A source is over its limit if target × total exceeds limit × its own tokens. ``exponent`` is
     the greatest t at which the tempered mix keeps every limit and ``tempered`` that mix's
-    weight. Budgets follow the targets, cut at each source's limit, or the tempered weights.
+    weight. Budgets follow the targets (t = 1) or the tempered weights; what a limit cuts is shared out among the
+    sources below theirs by the same weights, so budgets make up the total unless all limits bind.
     """
     norm = sum(targets) or 1.0
     m = [w / norm for w in targets]
@@ -141,15 +154,15 @@ def plan_mix(
 
     t = bisect(keeps, 0.0, 1.0)
     weights = mix(t)
+    budgets = capped(weights if tempered else m, [lim * n for lim, n in zip(limits, tokens, strict=True)], total)
     out = []
     for i, name in enumerate(names):
-        want = (weights[i] if tempered else m[i]) * total
         out.append(
             Source(
                 name, tokens[i], m[i], limits[i],
                 m[i] * total / tokens[i] if tokens[i] else math.inf,
                 m[i] * total > limits[i] * tokens[i],
-                t, weights[i], int(min(want, limits[i] * tokens[i])),
+                t, weights[i], int(budgets[i]),
             )
         )
     return out
