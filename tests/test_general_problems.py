@@ -210,7 +210,7 @@ def test_trailing_totals_equal_brute_force(spark, rows):
             cells[p, d] = (rnd.choice([None, 0, 45, 90]), rnd.choice([0, 1]))
     data = [(p, d, a, b) for (p, d), (a, b) in cells.items()] + [(None, 3, 9, 9), (4, None, 9, 9)]
     df = spark.createDataFrame(data, "p long, d int, a long, b long").withColumn("e", F.lit(0)).withColumn("t", F.lit(0))
-    got = trailing_totals(df, "p", "d", ["a", "b"], [7, 30], tile=32, entities_per_block=6)
+    got = trailing_totals(df, "p", "d", ["a", "b"], [7, 30], tile=32, blocks=3)
     want = []
     for p in range(20):
         days = [d for q, d in cells if q == p]
@@ -248,3 +248,14 @@ def test_merkle_diff_sees_repeats_and_hot_keys(spark, rows):
     assert rows(merkle_diff(df, runs, ["grp"], "run", "at", "id", "v")) == [(1, 11, 7, "changed", 5, 6)]
     hot = df.filter("run < 12").distinct().selectExpr("*", "explode(sequence(1, 60000)) as n").drop("n")
     assert rows(merkle_diff(hot, runs.filter("run < 12"), ["grp"], "run", "at", "id", "v", depth=1)) == [(1, 11, 7, "changed", 5, 6)]
+
+
+def test_times_far_from_the_present(spark):
+    """Every year is resolved by the zone's rules: before there were any, and beyond the table's last year."""
+    texts = ["2101-06-01 12:00", "1965-06-01 12:00", "3001-07-01 12:00", "1801-07-01 12:00", "2520-06-01 12:00", "1700-01-01 00:30"]
+    zones = ["Europe/London", "America/New_York", "Asia/Kolkata"]
+    cells = spark.createDataFrame([(z, t) for z in zones for t in texts], "feed string, text string")
+    feeds = spark.createDataFrame([(z, z, "dmy") for z in zones] + [(f"f{i}", f"No/Zone{i}", "dmy") for i in range(1200)], "feed string, home_zone string, date_order string")
+    for r in normalise_times(cells, feeds, "text").collect():
+        want = dt.datetime.fromisoformat(r.text).replace(tzinfo=zoneinfo.ZoneInfo(r.feed)) - dt.datetime(1970, 1, 1, tzinfo=dt.UTC)
+        assert r.verdict == "local" and r.instant_us == want // dt.timedelta(microseconds=1), r

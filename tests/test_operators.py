@@ -84,23 +84,28 @@ def test_overrides_and_acceptance(spark, rows):
     o = spark.createDataFrame([(1, None), (2, 30)], "a long, b long")
     assert rows(folds.apply_overrides(m, o, "a", "b")) == [(2, 30, "override")]
     p = spark.createDataFrame([(1, 0.9, 3, 60.0), (2, 0.6, 1, 90.0), (3, 0.1, 1, 96.0), (4, 0.9, 5, 40.0), (5, 0.1, 0, 99.0)], "k long, overlap double, shared long, name_score double")
-    assert rows(folds.accept(p), "k") == [(1,), (2,), (3,)]
+    assert rows(folds.accept(p, [{"overlap": 0.8, "shared": 3}, {"overlap": 0.5, "name_score": 85}, {"shared": 1, "name_score": 95}], {"name_score": 50}), "k") == [(1,), (2,), (3,)]
 
 
 def test_elo_fold_equals_plain_loop(spark, rows):
     rnd = random.Random(6)
     games = [("L", 2020 + i // 30, i, i * 10, *rnd.sample(range(1 + i // 30, 7 + i // 30), 2), rnd.randint(0, 6), rnd.randint(0, 3)) for i in range(60)]
     df = spark.createDataFrame([*games, ("L", 2020, 99, None, 1, 2, 1, 1)], "league string, season long, fixture_key long, kickoff_us long, home long, away long, home_goals long, away_goals long")
-    s = folds.Ratings()
-    want = []
-    for g in games:
-        if g[1] != s.season:
-            s.open_season(g[1], {c for x in games if x[1] == g[1] for c in x[4:6]})
-        want.append((g[2], round(s.play(*g[4:8])[0], 9)))
-    got = folds.elo(df).select("fixture_key", F.round("home_before", 9))
+    now, active, want = {}, set(), []
+    for season in (2020, 2021):
+        clubs = {c for x in games if x[1] == season for c in x[4:6]}
+        gone = [now[c] for c in active - clubs]
+        now |= {c: sum(gone) / len(gone) if gone else 1500.0 for c in clubs - active}
+        active = clubs
+        for g in (x for x in games if x[1] == season):
+            h, a, d = now[g[4]], now[g[5]], g[6] - g[7]
+            by = 1 if abs(d) <= 1 else 1.5 if abs(d) == 2 else (11 + abs(d)) / 8
+            move = 20 * by * ((d > 0) + 0.5 * (d == 0) - 1 / (1 + 10 ** (-(h + 60 - a) / 400)))
+            want.append((g[2], round(h, 6), round(move, 6)))
+            now[g[4]], now[g[5]] = h + move, a - move
+    got = folds.elo(df).select("fixture_key", F.round("home_before", 6), F.round("move", 6))
     assert rows(got) == sorted(want)
-    total = sum(s.now[c] for c in s.active)
-    assert total == pytest.approx(1500 * len(s.active), abs=1e-6)
+    assert sum(now[c] for c in active) == pytest.approx(1500 * len(active), abs=1e-6)
 
 
 # ---------------------------------------------------------------- functions

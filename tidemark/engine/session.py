@@ -40,10 +40,14 @@ def micros(c: Column | str) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a private one is set only where none is (tests)."""
+    """The shared folder named by spark.checkpoint.dir; a private one is set only where none is and all runs on one machine."""
     sc = spark.sparkContext
     if (have := sc.getCheckpointDir()) is not None:
         return have
-    where = sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
+    where = sc.getConf().get("spark.checkpoint.dir")
+    if where is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        where = os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
     sc.setCheckpointDir(where)
     return where

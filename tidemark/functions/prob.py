@@ -41,11 +41,12 @@ def _array_sum(a: Column) -> Column:
 
 
 def devig_power(prices: Column, steps: int = 60) -> Column:
-    """Probabilities (1 / price)^k with k from bisection on (0, 50] so that they sum to 1, renormalised.
-    NULL unless all prices of the array are above 1."""
+    """Probabilities (1 / price)^k with k from bisection so that they sum to 1, renormalised: the largest of n powers is at least
+    1 / n of the sum, so k is at most ln n / ln(lowest price). NULL unless all prices of the array are above 1."""
     p = F.transform(prices, lambda o: 1.0 / o)
     valid = (F.size(prices) > 1) & F.forall(prices, lambda o: F.coalesce(o > 1, F.lit(False)))
-    k = _bisect(F.lit(1e-6), F.lit(50.0), lambda mid: _array_sum(F.transform(p, lambda x: F.pow(x, mid))) > 1, steps)
+    highest = F.log(F.size(prices).cast("double")) / F.log(F.array_min(prices)) + 1e-9
+    k = _bisect(F.lit(0.0), highest, lambda mid: _array_sum(F.transform(p, lambda x: F.pow(x, mid))) > 1, steps)
     q = F.get(F.transform(F.array(k), lambda kk: F.transform(p, lambda x: F.pow(x, kk))), F.lit(0))
     return F.when(valid, F.get(F.transform(F.array(q), lambda qq: F.transform(qq, lambda x: x / _array_sum(qq))), F.lit(0)))
 

@@ -9,38 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.engine.session import ensure_checkpoint_dir
+from tidemark.functions.prob import goal_multiplier
 
 START, ADVANTAGE, K = 1500.0, 60.0, 20.0
 
 
-class Ratings:
-    """Elo ratings of one competition; a new season's newcomers start at the mean of those who left."""
-
-    def __init__(self) -> None:
-        self.now: dict = {}
-        self.season = None
-        self.active: set = set()
-
-    def open_season(self, season, clubs: set) -> None:
-        """``clubs`` are all of the season's; called before its first match."""
-        if self.active:
-            gone = [self.now[c] for c in self.active - clubs]
-            start = sum(gone) / len(gone) if gone else START
-            for c in sorted(clubs - self.active):
-                self.now[c] = start
-        for c in clubs:
-            self.now.setdefault(c, START)
-        self.active, self.season = set(clubs), season
-
-    def play(self, home, away, goals: int, against: int) -> tuple[float, float, float, float]:
-        rh, ra = self.now[home], self.now[away]
-        e = 1 / (1 + 10 ** (-(rh + ADVANTAGE - ra) / 400))
-        d = abs(goals - against)
-        g = 1.0 if d <= 1 else (1.5 if d == 2 else (11 + d) / 8)
-        s = 1.0 if goals > against else (0.5 if goals == against else 0.0)
-        move = K * g * (s - e)
-        self.now[home], self.now[away] = rh + move, ra - move
-        return rh, ra, move, e
+def entry_ratings(rating: dict, before: set, now: set) -> dict:
+    """Ratings of the clubs new in a season: the mean of those that left, START if none did."""
+    left = [rating[c] for c in sorted(before - now)]
+    return dict.fromkeys(now - before, sum(left) / len(left) if left else START)
 
 
 RATING_SCHEMA = "league string, season long, fixture_key long, home long, away long, home_before double, away_before double, move double, expected double"
@@ -56,20 +33,28 @@ def elo(matches: DataFrame) -> DataFrame:
     """
     need = ["league", "season", "kickoff_us", "home", "away", "home_goals", "away_goals"]
     m = matches.filter(" and ".join(f"{c} is not null" for c in need)).select("fixture_key", *need)
+    lead = F.col("home_goals") - F.col("away_goals")
+    m = m.withColumn("stake", F.lit(K) * goal_multiplier(lead)).withColumn("result", (F.signum(lead.cast("double")) + 1) / 2).drop("home_goals", "away_goals")
     sides = m.select("league", "season", F.explode(F.array("home", "away")).alias("club"))
     clubs = sides.groupBy("league", "season").agg(F.collect_set("club").alias("clubs"))  # a league's clubs
     m = m.join(clubs, ["league", "season"]).repartition("league").sortWithinPartitions("league", "kickoff_us", "home", "fixture_key")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        league, state = None, Ratings()
+        rating, clubs, at = {}, set(), (None, None)
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                if r.league != league:
-                    league, state = r.league, Ratings()
-                if r.season != state.season:
-                    state.open_season(r.season, set(r.clubs))
-                out.append((r.league, r.season, r.fixture_key, r.home, r.away, *state.play(r.home, r.away, r.home_goals, r.away_goals)))
+                if r.league != at[0]:
+                    rating, clubs = {}, set()
+                if (r.league, r.season) != at:
+                    at, now = (r.league, r.season), set(r.clubs)
+                    rating |= entry_ratings(rating, clubs, now)
+                    clubs = now
+                h, a = rating[r.home], rating[r.away]
+                expected = 1 / (1 + 10 ** ((a - h - ADVANTAGE) / 400))
+                move = r.stake * (r.result - expected)
+                rating[r.home], rating[r.away] = h + move, a - move
+                out.append((r.league, r.season, r.fixture_key, r.home, r.away, h, a, move, expected))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in RATING_SCHEMA.split(", ")])
 
     return m.mapInPandas(run, RATING_SCHEMA)
@@ -119,15 +104,13 @@ def greedy_match(pairs: DataFrame, a: str, b: str, scores: list[str], max_rounds
     return out
 
 
-def accept(pairs: DataFrame) -> DataFrame:
-    """Pairs that are plausible: (overlap ≥ .8 and shared ≥ 3) or (overlap ≥ .5 and name ≥ 85) or (shared ≥ 1 and
-    name ≥ 95), and a name score of at least 50 in any case."""
-    ok = (
-        ((F.col("overlap") >= 0.8) & (F.col("shared") >= 3))
-        | ((F.col("overlap") >= 0.5) & (F.col("name_score") >= 85))
-        | ((F.col("shared") >= 1) & (F.col("name_score") >= 95))
-    )
-    return pairs.filter(ok & (F.col("name_score") >= 50))
+def accept(pairs: DataFrame, rules: list[dict[str, float]], floor: dict[str, float]) -> DataFrame:
+    """Pairs that reach every value of ``floor`` and of at least one rule; both map columns to least values. A NULL reaches nothing."""
+    reaches = lambda least: F.coalesce(F.expr(" and ".join(f"`{c}` >= {v}" for c, v in least.items())), F.lit(False))
+    some = F.lit(False)
+    for rule in rules:
+        some = some | reaches(rule)
+    return pairs.filter(reaches(floor) & some)
 
 
 def apply_overrides(matched: DataFrame, overrides: DataFrame, a: str, b: str) -> DataFrame:

@@ -39,18 +39,22 @@ def outer_with_indicator(left: DataFrame, right: DataFrame, keys: list[str], ind
     return a.join(b, keys, "full_outer").withColumn(indicator, side).drop("__l", "__r")
 
 
+#: Values of a dense grid's axis that are held in one array.
+AXIS = 50_000
+
+
 def dense_grid(keys: DataFrame, axis: DataFrame, facts: DataFrame, on: list[str], fill: dict) -> DataFrame:
-    """Every key with every value of a small axis, facts attached and gaps filled.
+    """Every key with every value of an axis, facts attached and gaps filled.
 
-    The axis is exploded from one bounded array instead of a cross join of two data sets; it may
-    hold at most 100,000 values, which is checked.
+    The axis is exploded from arrays of about ``AXIS`` values, joined by the array's number, instead of a cross join of two
+    data sets; a short axis is one array. Repeated axis values count once.
     """
     names = axis.columns
-    rows = axis.distinct().limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("the axis of a dense grid is bounded at 100,000 values")
-    packed = one_row(keys.sparkSession.createDataFrame(rows, axis.schema).agg(F.collect_list(F.struct(*names)).alias("axis")))
-    grid = keys.withColumn("__a", F.explode(packed["axis"])).select(*keys.columns, "__a.*")
+    parts = max(1, -(-axis.distinct().count() // AXIS))
+    number = F.pmod(F.xxhash64(*names), F.lit(parts)).cast("int")
+    packed = axis.distinct().groupBy(number.alias("__p")).agg(F.collect_list(F.struct(*names)).alias("__a"))
+    grid = keys.withColumn("__p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(packed, "__p")
+    grid = grid.select(*keys.columns, F.explode("__a").alias("__a")).select(*keys.columns, "__a.*")
     return grid.join(facts, on, "left").na.fill(fill)
 
 

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Entities whose days are held densely at once.
+ENTITIES = 4096
+
+
 def banded(tile: int, halo: int, window: int) -> np.ndarray:
     """(halo + tile) × tile operator: column j sums the ``window`` days that end with day j of the tile."""
     day = np.arange(halo + tile)[:, None]
@@ -28,7 +32,7 @@ def trailing_totals(
     windows: list[int],
     at_least: tuple[str, int, float] | None = None,
     tile: int = 64,
-    entities_per_block: int = 256,
+    blocks: int | None = None,
 ) -> DataFrame:
     """For each entity and day, sums and averages of long ``values`` over each trailing window.
 
@@ -39,18 +43,17 @@ def trailing_totals(
     (value, window, threshold) keeps only days whose sum reaches a positive threshold; the filter
     runs inside the blocks, so nothing else leaves them. An empty input gives an empty result.
 
-    A group is one block of entities and one tile of days: ``entities_per_block`` × (tile + halo)
-    cells at most on average, whatever the size of the input. Each row is sent to its own tile
-    and, near its end, to the next (the halo), one shuffle in all.
+    A group is one block of entities (a hash; by default twice as many as shuffle partitions) and one tile of days; a group's entities are worked on
+    ENTITIES at a time, so its dense cells stay few whatever the size of the input. Each row is sent to its own tile
+    and, near its end, to the next (the halo), one shuffle in all, and the input is read once.
     """
+    blocks = blocks or max(64, 2 * int(daily.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     halo = max(windows) - 1
     if halo > tile:
         raise ValueError("the longest window must fit into one preceding tile")
     rows = daily.filter(F.col(entity).isNotNull() & F.col(day).isNotNull()).select(
         F.col(entity).alias("__e"), F.col(day).cast("int").alias("__d"), *[F.col(v).cast("long").alias(v) for v in values]
     )
-    n = rows.agg(F.approx_count_distinct("__e", 0.02).alias("n")).first().n or 0
-    blocks = max(1, -(-n // entities_per_block))
     span = rows.groupBy("__e").agg(F.min("__d").alias("__d0"), F.max("__d").alias("__d1"))
     own = F.floor(F.col("__d") / tile).cast("int")
     last = F.floor((F.col("__d") + halo) / tile).cast("int")
@@ -77,7 +80,11 @@ def trailing_totals(
     bands = {w: banded(tile, halo, w) for w in windows}
 
     def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        t = int(key[1])
+        codes, names = pd.factorize(pdf["__e"])
+        part = codes // ENTITIES
+        return pd.concat([some(int(key[1]), pdf[part == k]) for k in range(max(1, -(-len(names) // ENTITIES)))], ignore_index=True)
+
+    def some(t: int, pdf: pd.DataFrame) -> pd.DataFrame:
         codes, names = pd.factorize(pdf["__e"])
         start = t * tile - halo
         has = pdf["__d"].notna().to_numpy()

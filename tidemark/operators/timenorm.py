@@ -10,14 +10,20 @@ from __future__ import annotations
 import datetime as dt
 import functools
 import zoneinfo
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.engine.scale import broadcast_if_small
 
 DAY_US = 86_400_000_000
 HOUR_US = 3_600_000_000
+GREGORIAN_US = 146_097 * DAY_US
+#: Years of the interval tables: from before zones had rules to 400 years after the tz database's last ones.
+FIRST_YEAR, LAST_YEAR = 1800, 2500
+FIRST_LOCAL_US = int((dt.datetime(FIRST_YEAR, 6, 1) - dt.datetime(1970, 1, 1)) / dt.timedelta(microseconds=1))
 
 # Zone abbreviations and their offsets in minutes, used where the home zone has no such abbreviation.
 ABBREVIATIONS = {
@@ -35,7 +41,7 @@ MONTHS = {
 
 
 @functools.lru_cache(maxsize=1024)
-def offset_intervals(zone: str, first_year: int = 1970, last_year: int = 2100) -> tuple[tuple[int, int, int], ...]:
+def offset_intervals(zone: str, first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR) -> tuple[tuple[int, int, int], ...]:
     """(local_from_us, local_to_us, offset_us) half-open intervals of one zone, from the tz database."""
     try:
         tz = zoneinfo.ZoneInfo(zone)
@@ -80,16 +86,33 @@ def zone_abbreviations(zone: str) -> dict[str, int]:
     return found
 
 
-def interval_table(spark: SparkSession, zones: list[str]) -> DataFrame:
-    """Zone intervals exploded into local years: (zone, local_year, intervals array). Bounded by the tz database."""
-    rows = [(z, *i) for z in zones for i in offset_intervals(z)]
-    df = spark.createDataFrame(rows, "zone string, local_from long, local_to long, offset long")
+def zone_table(zones: DataFrame) -> DataFrame:
+    """Zone intervals exploded into local years: (zone, local_year, intervals array). Made in the workers, so zones are
+    never gathered; ``zones`` has a column ``home_zone``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(z, *i) for z in pdf["home_zone"] for i in offset_intervals(z)]
+            yield pd.DataFrame(rows, columns=["zone", "local_from", "local_to", "offset"])
+
+    df = zones.select("home_zone").filter("home_zone is not null").distinct().mapInPandas(run, "zone string, local_from long, local_to long, offset long")
     year = lambda c: F.year(F.timestamp_micros(c).cast("timestamp"))
     buckets = F.sequence(year(F.col("local_from")), year(F.col("local_to") - 1))
     df = df.withColumn("local_year", F.explode(buckets))
-    return df.groupBy("zone", "local_year").agg(
-        F.collect_list(F.struct("local_from", "local_to", "offset")).alias("intervals")
-    )
+    return df.groupBy("zone", "local_year").agg(F.collect_list(F.struct("local_from", "local_to", "offset")).alias("intervals"))
+
+
+def with_abbreviations(feeds: DataFrame) -> DataFrame:
+    """``feeds`` (feed, home_zone, date_order) with the zone's abbreviations in minutes and whether the zone is known."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            zones = [z if isinstance(z, str) else None for z in pdf["home_zone"]]
+            pdf["home_abbr"] = [zone_abbreviations(z) if z else {} for z in zones]
+            pdf["zone_known"] = [bool(z) and bool(offset_intervals(z, 2000, 2002)) for z in zones]
+            yield pdf
+
+    return feeds.mapInPandas(run, "feed string, home_zone string, date_order string, home_abbr map<string,int>, zone_known boolean")
 
 
 def _let(value: Column, fn) -> Column:
@@ -207,34 +230,32 @@ def parse_local(text: Column, date_order: Column, home_abbr: Column) -> Column:
 def normalise_times(cells: DataFrame, feeds: DataFrame, text: str, feed: str = "feed") -> DataFrame:
     """Resolve each cell's text to ``instant_us`` and a ``verdict``.
 
-    ``feeds`` (feed, home_zone, date_order) says how a feed writes; its zones are bounded by the
-    tz database. Verdicts: 'instant', 'local' (resolved through the zone), 'ambiguous',
+    ``feeds`` (feed, home_zone, date_order) says how a feed writes. Years from 1 on are resolved by the tz database's rules. Verdicts: 'instant', 'local' (resolved through the zone), 'ambiguous',
     'nonexistent', 'date', 'none' (no time; also NULL, blank and unknown feeds or zones without an
     offset written). Every input row comes out once with its own columns; nothing is shuffled
     as long as the feeds are few, which is measured.
     """
-    spark = cells.sparkSession
-    zones = [r.home_zone for r in feeds.select("home_zone").distinct().limit(1000).collect() if r.home_zone]
-    abbr = {z: zone_abbreviations(z) for z in zones}
-    abbr_df = spark.createDataFrame(
-        [(z, m) for z, m in abbr.items()] or [("UTC", {"UTC": 0})], "home_zone string, home_abbr map<string,int>"
-    )
     empty = F.create_map().cast("map<string,int>")
-    f = feeds.filter(F.col("feed").isNotNull()).groupBy("feed").agg(
+    f = feeds.filter(F.col("feed").isNotNull()).groupBy(F.col("feed").cast("string").alias("feed")).agg(
         F.min("home_zone").alias("home_zone"), F.min("date_order").alias("date_order")
-    ).join(F.broadcast(abbr_df), "home_zone", "left")
-    f = broadcast_if_small(f.select(F.col("feed").alias("__feed"), "home_zone", "date_order", F.coalesce("home_abbr", empty).alias("home_abbr")))
+    )
+    f = broadcast_if_small(with_abbreviations(f).withColumnRenamed("feed", "__feed"))
     own = [F.col(f"__in.`{c}`").alias(c) for c in cells.columns]
     x = cells.select(F.struct(*[F.col(f"`{c}`") for c in cells.columns]).alias("__in"), F.col(feed).alias("__f"), F.col(text).alias("__text"))
     x = x.join(f, F.col("__f") == F.col("__feed"), "left")
     x = x.withColumn(
         "__p", parse_local(F.col("__text"), F.coalesce("date_order", F.lit("")), F.coalesce("home_abbr", empty))
     )
-    x = x.withColumn("__year", F.year(F.timestamp_micros(F.col("__p.local_us"))))
-    iv = F.broadcast(interval_table(spark, zones or ["UTC"]))  # ≤ 600 zones × 131 years, a few MB
+    # rules without an end repeat every 400 years, so later years are looked up at their place in the table's last 400;
+    # times before the table's first year lie in the zone's first interval
+    year = F.year(F.timestamp_micros(F.col("__p.local_us")))
+    cycles = F.when(year >= LAST_YEAR, F.floor((year - (LAST_YEAR - 400)) / 400)).otherwise(0)
+    local = F.when(year < FIRST_YEAR, F.lit(FIRST_LOCAL_US)).otherwise(F.col("__p.local_us") - cycles * F.lit(GREGORIAN_US))
+    x = x.withColumn("__local", local).withColumn("__year", F.year(F.timestamp_micros(F.col("__local"))))
+    iv = broadcast_if_small(zone_table(f.select("home_zone")))
     x = x.join(iv, (F.col("home_zone") == F.col("zone")) & (F.col("__year") == F.col("local_year")), "left")
     hits = F.filter(
-        F.col("intervals"), lambda i: (F.col("__p.local_us") >= i["local_from"]) & (F.col("__p.local_us") < i["local_to"])
+        F.col("intervals"), lambda i: (F.col("__local") >= i["local_from"]) & (F.col("__local") < i["local_to"])
     )
     x = x.withColumn("__hits", hits)
     n = F.size("__hits")
@@ -245,7 +266,7 @@ def normalise_times(cells: DataFrame, feeds: DataFrame, text: str, feed: str = "
         .when((kind == "local") & (n == 1), F.col("__p.local_us") - F.col("__hits")[0]["offset"])
         .alias("instant_us"),
         F.when(kind != "local", kind)
-        .when(F.col("home_zone").isNull() | ~F.col("home_zone").isin(zones or [""]), "none")
+        .when(~F.coalesce(F.col("zone_known"), F.lit(False)), "none")
         .when(n == 1, "local")
         .when(n > 1, "ambiguous")
         .otherwise("nonexistent")

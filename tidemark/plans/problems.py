@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.engine.scale import broadcast_if_small, current_rows
-from tidemark.engine.session import DAY_US, micros, table
+from tidemark.engine.session import DAY_US, ensure_checkpoint_dir, micros, table
 from tidemark.operators.event_attributes import attributes_at_event
 from tidemark.operators.history import scd2_merge
 from tidemark.operators.impute import Level, fill_missing
@@ -124,7 +124,15 @@ def player_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         "chance_of_playing_next_round",
     )
     attrs = ["now_cost", "status", "chance_of_playing_next_round"]
-    return scd2_merge(None, ps, "player_key", "snapshot_us", attrs, ["own", "available_us"])
+    how = ("player_key", "snapshot_us", attrs, ["own", "available_us"])
+    # two deliveries, as a table that grows gets them: the second one meets the versions the first one left open
+    edge = ps.agg(F.min("snapshot_us").alias("a"), F.max("snapshot_us").alias("b")).first()
+    if edge.a is None:
+        return scd2_merge(None, ps, *how)
+    half = edge.a + (edge.b - edge.a) // 2
+    ensure_checkpoint_dir(spark)
+    first = scd2_merge(None, ps.filter(F.col("snapshot_us") <= half), *how).checkpoint()
+    return scd2_merge(first, ps.filter(F.col("snapshot_us") > half), *how)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,13 +130,14 @@ def content_fingerprint(spark, d):
     return K.content_fingerprint(table(spark, d, "region"), "r_name")
 
 
-@query("select 'bootstrap' as endpoint, 3 as files, 2 as players")
+@query("select 'bootstrap' as endpoint, 3 as files, count(*)::int as players from region")
 def raw_store_entries(spark, d):
     """A local landing area (tests and single machines): write-once files in three codecs, listed and read."""
     import lzma
 
     root = tempfile.mkdtemp(prefix="tidemark-raw-")
-    body = json.dumps({"elements": [{"id": 1, "name": "Ann"}, {"id": 2, "name": "Bé"}]}).encode()
+    people = table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name")).collect()  # five rows at any scale
+    body = json.dumps({"elements": [r.asDict() for r in people]}).encode()
     for i, (suffix, data) in enumerate(((".json", body), (".json.gz", RS.deterministic_gzip(body)), (".json.xz", lzma.compress(body)))):
         RS.write_once(root, RS.path_for("feed", "bootstrap", dt.datetime(2023, 1, 1, i, tzinfo=dt.UTC), suffix), data)
     e = RS.entries(spark, f"file://{root}", "feed")

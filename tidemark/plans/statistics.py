@@ -149,16 +149,31 @@ def threshold_crossings(spark, d):
     return c.select("player_key", "season", "fixture_key", F.col("threshold").cast("long"), F.col("penalty").cast("long"))
 
 
+# When two names of a club are taken for the same one (share of common fixtures, their number, name score), and
+# the least name score of all.
+MATCH_RULES = [{"overlap": 0.8, "shared": 3, "name_score": 0}, {"overlap": 0.5, "name_score": 85}, {"shared": 1, "name_score": 95}]
+MATCH_FLOOR = {"name_score": 50}
+
+
 @query()
 def entity_match(spark, d):
-    """Clubs under two sources' names: token blocking, name score, acceptance and greedy one-to-one choice."""
+    """Clubs under two sources' names: pairs with fixtures on the same days, scored over all name variants, accepted by rules,
+    chosen one to one, and overridden where a club's own identifier says so."""
     t = table(spark, d, "team_dim")
-    a = t.select("team_key", S.normalise_name(F.col("football_data_name")).alias("an"))
-    b = t.filter("odds_api_name is not null").select(F.col("espn_id").alias("other_id"), S.normalise_name(F.col("odds_api_name")).alias("bn"))
-    ta = a.select("team_key", "an", F.explode(F.split("an", " ")).alias("tok"))
-    tb = b.select("other_id", "bn", F.explode(F.split("bn", " ")).alias("tok"))
-    pairs = ta.join(tb, "tok").select("team_key", "other_id", "an", "bn").distinct()
-    pairs = pairs.withColumn("score", F.round(S.token_set_ratio("an", "bn"), 4)).filter("score >= 50")
-    return folds.greedy_match(pairs.select("team_key", "other_id", "score"), "team_key", "other_id", ["score"])
-
-
+    f = table(spark, d, "fixture").filter("finished and kickoff_time is not null")
+    days = f.select(F.explode(F.array("home_team_key", "away_team_key")).alias("team"), F.to_date("kickoff_time").alias("day")).distinct()
+    played = days.groupBy("team").agg(F.count("*").alias("days"))
+    names = lambda *cs: F.array_compact(F.array(*[S.normalise_name(F.col(c)) for c in cs]))
+    a = t.select("team_key", F.explode(names("football_data_name", "fpl_names")).alias("an")).distinct()
+    b = t.filter("odds_api_name is not null").select(F.col("team_key").alias("other_key"), F.explode(names("odds_api_name", "understat_name")).alias("bn")).distinct()
+    token = lambda x, c: x.select("*", F.explode(F.array_distinct(F.split(c, " "))).alias("tok"))
+    pairs = token(a, "an").join(token(b, "bn"), "tok").select("team_key", "other_key", "an", "bn").distinct()
+    pairs = pairs.groupBy("team_key", "other_key").agg(F.max(F.round(S.token_set_ratio("an", "bn"), 4)).alias("name_score"))
+    x = days.select(F.col("team").alias("team_key"), "day").join(pairs, "team_key")
+    common = x.join(days.select(F.col("team").alias("other_key"), "day"), ["other_key", "day"]).groupBy("team_key", "other_key").agg(F.count("*").alias("shared"))
+    pairs = pairs.join(common, ["team_key", "other_key"], "left").join(played.withColumnRenamed("team", "team_key"), "team_key", "left")
+    pairs = pairs.select("team_key", "other_key", "name_score", F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce(F.col("shared") / F.col("days"), F.lit(0.0)).alias("overlap"))
+    good = folds.accept(pairs, MATCH_RULES, MATCH_FLOOR).select("team_key", "other_key", F.col("name_score").alias("score"))
+    matched = folds.greedy_match(good, "team_key", "other_key", ["score"])
+    own = t.filter("odds_api_name is null").select("team_key", F.lit(None).cast("long").alias("other_key"))  # known to be absent there
+    return folds.apply_overrides(matched, own, "team_key", "other_key")
