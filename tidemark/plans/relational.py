@@ -407,6 +407,19 @@ def dense_rank_index(spark, d):
     return table(spark, d, "gameweek").select("season", "gw", F.dense_rank().over(Window.partitionBy("season").orderBy("gw")).cast("long").alias("gw_order"))
 
 
+@query("""select p_partkey, ntile(4) over w as quarter, percent_rank() over w as pr, cume_dist() over w as cd,
+nth_value(p_partkey, 2) over (w rows between unbounded preceding and unbounded following) as second
+from part window w as (partition by p_brand order by p_retailprice, p_partkey)""")
+def position_functions(spark, d):
+    """Where each part stands among its brand's: quarter, percent rank, share at or below, and the brand's second part."""
+    w = Window.partitionBy("p_brand").orderBy("p_retailprice", "p_partkey")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return table(spark, d, "part").select(
+        "p_partkey", F.ntile(4).over(w).cast("long").alias("quarter"), F.percent_rank().over(w).alias("pr"), F.cume_dist().over(w).alias("cd"),
+        F.nth_value("p_partkey", 2).over(whole).alias("second"),
+    )
+
+
 @query("select p_partkey, rank() over (partition by p_brand order by p_size desc) as rk, round(sum(p_retailprice) over (partition by p_brand) - p_retailprice, 4) as others from part")
 def rank_and_sum_of_others(spark, d):
     w = Window.partitionBy("p_brand")
