@@ -12,6 +12,8 @@ from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import refits
+
 
 def assemble(df: DataFrame, features: list[str], fill: float = -1.0) -> DataFrame:
     """Feature vector with NULL and NaN as ``fill``."""
@@ -61,6 +63,12 @@ class Poisson:
     def predict(self, model: Any, df: DataFrame, out: str) -> DataFrame:
         return model.transform(assemble(df, self.features)).withColumn(out, F.col("prediction")).select(*df.columns, out)
 
+    def fit_all(self, df: DataFrame, periods: list[int]) -> dict[int, Any]:
+        return refits.fit_poisson(df, self.features, self.label, periods)
+
+    def predict_all(self, models: dict[int, Any], df: DataFrame, out: str) -> DataFrame:
+        return refits.predict(df, self.features, models, refits.rate, out)
+
 
 @dataclass
 class WalkForward:
@@ -76,10 +84,20 @@ class WalkForward:
     def predict(self, history: DataFrame, order: str, rounds: list[int], out: str = "pred") -> DataFrame:
         """Predictions for the rows of each round from a model that saw only rounds before its cutoff.
 
-        Rounds whose cutoff has no earlier row can't be predicted and are left out.
+        Rounds whose cutoff has no earlier row can't be predicted and are left out. A model with ``fit_all`` is fitted
+        for all cutoffs side by side.
         """
         first = history.agg(F.min(order)).first()[0]
         cuts = sorted({c for i in rounds if first is not None and (c := self.cutoff(i)) > first})
+        model = self.make()
+        if hasattr(model, "fit_all"):
+            to_period = lambda cut: (cut - 1) // self.every
+            h = history.withColumn(refits.PERIOD, F.floor((F.col(order) - 1) / self.every).cast("int"))
+            fits = model.fit_all(h, [to_period(c) for c in cuts if c not in self.fits])
+            if fits is not None:
+                self.fits |= {c: fits[to_period(c)] for c in cuts if to_period(c) in fits}
+                fits = {to_period(c): self.fits[c] for c in cuts if c in self.fits}
+                return model.predict_all(fits, h.filter(F.col(order).isin(rounds) & F.col(refits.PERIOD).isin(list(fits))), out)
         for cut in cuts:
             if cut not in self.fits:
                 self.fits[cut] = self.make().fit(history.filter(F.col(order) < cut))
