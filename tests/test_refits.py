@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from tidemark.operators.models import Poisson, WalkForward
+from tidemark.operators import refits
+from tidemark.operators.models import Boosted, Poisson, WalkForward
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +29,7 @@ def one_by_one(model, history, every=4):
     return out
 
 
-@pytest.mark.parametrize("model", [Poisson(["a", "b", "home"], "goals")], ids=["poisson"])
+@pytest.mark.parametrize("model", [Poisson(["a", "b", "home"], "goals"), Boosted(["a", "b", "home"], "start", rounds=4, depth=3)], ids=["poisson", "boosted"])
 def test_same_as_one_fit_after_the_other(history, model):
     got = WalkForward(lambda: model, every=8).predict(history, "i", list(range(1, 41)), "p")
     assert got.columns == [*history.columns, "p"]
@@ -40,7 +41,7 @@ def test_same_as_one_fit_after_the_other(history, model):
     assert all(tuple(r)[:-1] == tuple(same[k]) for k, r in rows.items())
 
 
-@pytest.mark.parametrize("model", [Poisson(["a", "b"], "goals")], ids=["poisson"])
+@pytest.mark.parametrize("model", [Poisson(["a", "b"], "goals"), Boosted(["a", "b"], "start", rounds=3, depth=2)], ids=["poisson", "boosted"])
 def test_jobs_don_t_grow_with_cutoffs(spark, history, model):
     def jobs(every, group):
         spark.sparkContext.setJobGroup(group, group)
@@ -54,9 +55,18 @@ def test_jobs_don_t_grow_with_cutoffs(spark, history, model):
 
 def test_labels_out_of_range_and_without_history(spark):
     h = spark.createDataFrame([(1, 0.5, 3, -1), (2, 0.5, 1, 1), (3, 0.1, 0, 0)], "i long, a double, start int, goals int")
+    with pytest.raises(Exception, match="other than 0 and 1"):
+        WalkForward(lambda: Boosted(["a"], "start"), every=1).predict(h, "i", [1, 2, 3]).count()
     with pytest.raises(Exception, match="negative"):
         WalkForward(lambda: Poisson(["a"], "goals"), every=1).predict(h, "i", [1, 2, 3]).count()
     late = h.selectExpr("i", "a", "case when i = 2 then start end as start", "case when i = 2 then goals end as goals")
-    for m in (Poisson(["a"], "goals"),):
+    for m in (Boosted(["a"], "start"), Poisson(["a"], "goals")):
         assert [r["i"] for r in WalkForward(lambda m=m: m, every=1).predict(late, "i", [1, 2, 3]).collect()] == [3]
         assert WalkForward(lambda m=m: m, every=1).predict(late.filter("i < 2"), "i", [1, 2, 3]).count() == 0
+
+
+def test_thresholds_count_every_row():
+    few = refits.thresholds(*map(refits.np.array, ([0.0, 1.0, 3.0], [5, 1, 1])))
+    assert few.tolist() == [0.5, 2.0]
+    many = refits.thresholds(refits.np.arange(640.0), refits.np.ones(640))
+    assert len(many) == 31 and many[0] == 19.5

@@ -48,6 +48,12 @@ class Boosted:
         value = vector_to_array("probability")[1] if self.kind == "binary" else F.col("prediction")
         return p.withColumn(out, value).select(*df.columns, out)
 
+    def fit_all(self, df: DataFrame, periods: list[int]) -> dict[int, Any] | None:
+        return refits.fit_boosted(df, self.features, self.label, periods, self.rounds, self.depth) if self.kind == "binary" else None
+
+    def predict_all(self, models: dict[int, Any], df: DataFrame, out: str) -> DataFrame:
+        return refits.predict(df, self.features, models, refits.start_probability, out)
+
 
 @dataclass
 class Poisson:
