@@ -1,5 +1,6 @@
 import os
 import random
+from difflib import SequenceMatcher
 
 import pandas as pd
 import pytest
@@ -118,6 +119,43 @@ def test_recall_of_the_candidates_by_edits(every, how):
     assert sum(got.get(x, 0) >= 1 / 3 for x in want) >= 0.9 * len(want)
 
 
+def shared_passage(n=60):
+    """Items that all begin with one passage of 40 words and go on with 50 of their own."""
+    rnd = random.Random(3)
+    vocab = [f"{a}{b}" for a in ("ba", "ko", "mi", "tu", "re", "sal", "ven", "dor") for b in ("n", "rt", "ss", "ml", "nd", "x", "ck", "pe", "to", "vy", "ga", "hu")]
+    passage = " ".join(rnd.choice(vocab) for _ in range(40))
+    return passage, [(i, passage + " " + " ".join(rnd.choice(vocab) for _ in range(50))) for i in range(n)]
+
+
+def test_passages_that_many_items_hold_are_found_in_each():
+    passage, items = shared_passage()
+    index = C.build_index(items)
+    texts = [OTHER, "Start here. " + passage + " and the rest differs.", items[7][1]]
+    got = {(d, i): c for d, i, c, *_ in C.match_texts(index, texts, C.Vocabulary(index.names)) if c >= 1 / 3}
+    want = {(d, i): c for d, t in enumerate(texts) for i, c in brute(index, t).items() if c >= 1 / 3}
+    assert got == want and len(got) == 120
+
+
+def test_matching_runs_are_those_of_difflib():
+    rnd = random.Random(2)
+    for words in (3, 8, 40):
+        for _ in range(60):
+            a, b = ([rnd.randrange(words) for _ in range(rnd.randrange(60))] for _ in range(2))
+            m = SequenceMatcher(None, b, a, autojunk=False)
+            assert C.blocks_of(a, b) == [(x.b, x.a, x.size) for x in m.get_matching_blocks() if x.size]
+
+
+@pytest.mark.parametrize("most", [1, 50, 700, 5000])
+def test_candidates_in_batches_are_the_same(most):
+    passage, items = shared_passage(20)
+    index = C.build_index(items)
+    docs = C.read_texts([passage, OTHER, *(t for _, t in items), passage + ". " + passage, ""], C.Vocabulary(index.names))
+    plain = lambda found: [(d, i, p.tolist(), q.tolist()) for d, i, p, q in found]
+    want = plain(C.candidates(index, docs, most=10**9))
+    assert plain(C.candidates(index, docs, most=most)) == want and len(want) == 20 * 22
+    assert most == 1 or max(len(h[0]) for h in C._hits(index, docs, most)) <= max(most, 2000)
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
 def test_same_as_brute_force_on_documents():
     """All items against every document whose id is divisible by 100, at a larger scale where it is there."""

@@ -18,9 +18,9 @@ import hashlib
 import html
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -236,7 +236,7 @@ def keys(t: Texts, short: Iterable[int] = ()) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Index:
-    """A block of items and their keys, as sorted hashes with postings. Items of fewer tokens than a key spans are
+    """A block of items and all their keys, as sorted hashes with postings by item. Items of fewer tokens than a key spans are
     looked for whole: ``short`` are their lengths."""
 
     ids: list[int]
@@ -262,29 +262,26 @@ def build_index(items: list[tuple[int, str]], names: NameBits | None = None) ->
         i = np.flatnonzero(size == n)
         hs = [_grams(t.toks[t.tok_at[k] : t.tok_at[k + 1]], n) for k in i]
         h, p, item = np.concatenate([h, *hs]), np.concatenate([p, t.tok_at[i]]), np.concatenate([item, i])
-    # keys that many items hold are turns of phrase and nominate nothing, unless an item has hardly any others
-    _, inv, held = np.unique(h, return_inverse=True, return_counts=True)
-    rare = held[inv] <= max(3, int(len(items) ** 0.5))
-    own = np.zeros(len(t.toks) + SPAN + 1, dtype=np.int64)
-    for k in range(SPAN):
-        own[p[rare] + k] = 1
-    under_rare = np.add.reduceat(np.append(own[: len(t.toks)], 0), np.minimum(t.tok_at[:-1], len(t.toks))) if len(items) else size
-    plain = under_rare < 0.5 * size
-    keep = rare | plain[item] if len(items) else rare
-    h, p, item = h[keep], p[keep], item[keep]
-    order = np.argsort(h, kind="stable")
+    order = np.lexsort((item, h))
     uniq, starts = np.unique(h[order], return_index=True)
     return Index([i for i, _ in items], t, names, uniq, np.append(starts, len(h)), item[order], (p - t.tok_at[item])[order], size, short)
 
 
-def _best_band(diag: np.ndarray) -> np.ndarray:
-    """Mask of the hits in the fullest two adjoining diagonal bands."""
-    u, cnt = np.unique(diag, return_counts=True)
-    near = cnt.copy()
+def _best_bands(of: np.ndarray, diag: np.ndarray) -> np.ndarray:
+    """Mask of each pair's hits in its fullest two adjoining diagonal bands; ``of`` is the hit's pair."""
+    low = diag.min()
+    width = diag.max() - low + 2
+    key = of * width + (diag - low)
+    u, cnt = np.unique(key, return_counts=True)
+    near, pair = cnt.copy(), u // width
     adj = np.flatnonzero(u[1:] == u[:-1] + 1)
     near[adj] += cnt[adj + 1]
-    k = u[np.argmax(near)]
-    return (diag == k) | (diag == k + 1)
+    new = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+    most = np.repeat(np.maximum.reduceat(near, new), np.diff(np.append(new, len(u))))
+    full = np.flatnonzero(near == most)
+    owner, first = np.unique(pair[full], return_index=True)
+    best = u[full[first]][np.searchsorted(owner, of)]
+    return (key == best) | (key == best + 1)
 
 
 def _covered(pos: np.ndarray) -> int:
@@ -298,10 +295,14 @@ def _covered(pos: np.ndarray) -> int:
 UNDER = 0.2
 
 
-def candidates(index: Index, docs: Texts, under: float = UNDER, band: int = 12) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(document, item, item positions, document positions) of pairs with enough keys along their best two bands of diagonals.
-    An item shorter than a key needs its whole run."""
-    h, dpos = keys(docs, index.short)
+#: Postings of keys that are held at once.
+HITS = 1_000_000
+
+
+def _hits(index: Index, docs: Texts, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(document × number of items + item, item position, token) of all keys that documents and items share. A pair's stand
+    in one batch: whole documents up to ``most`` hits, of a document with more a range of items at a time."""
+    h, q = keys(docs, index.short)
     if not len(h) or not len(index.hashes):
         return
     at = np.searchsorted(index.hashes, h)
@@ -309,12 +310,38 @@ def candidates(index: Index, docs: Texts, under: float = UNDER, band: int = 12)
     hit = np.flatnonzero(index.hashes[at] == h)
     if not len(hit):
         return
-    s, e = index.starts[at[hit]], index.starts[at[hit] + 1]
-    n = e - s
-    flat = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(s, n)
-    q = np.repeat(dpos[hit], n)
-    item, p, doc = index.item[flat], index.pos[flat], docs.text[q]
-    pair = doc * len(index.ids) + item
+    hit = hit[np.argsort(docs.text[q[hit]], kind="stable")]
+    at, q = at[hit], q[hit]
+    doc, items = docs.text[q], len(index.ids)
+    s, e = index.starts[at], index.starts[at + 1]
+    ends = np.append(np.flatnonzero(doc[1:] != doc[:-1]) + 1, len(doc))
+    total = np.cumsum(e - s)[ends - 1]
+    holders = np.repeat(np.arange(len(index.hashes)), np.diff(index.starts)) * items + index.item if total[-1] > most else None
+    i = 0
+    while i < len(ends):
+        before = total[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(total, before + most, "right")))
+        rows = slice(ends[i - 1] if i else 0, ends[j - 1])
+        parts = min(items, -(-int(total[j - 1] - before) // most))
+        for k in range(parts):
+            lo, hi = s[rows], e[rows]
+            if parts > 1:
+                lo, hi = (np.searchsorted(holders, at[rows] * items + x * items // parts) for x in (k, k + 1))
+            n = hi - lo
+            flat = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+            yield np.repeat(doc[rows], n) * items + index.item[flat], index.pos[flat], np.repeat(q[rows], n)
+        i = j
+
+
+def candidates(index: Index, docs: Texts, under: float = UNDER, band: int = 12, most: int = HITS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(document, item, item positions, document positions) of pairs with enough keys along their best two bands of diagonals.
+    An item shorter than a key needs its whole run."""
+    for hits in _hits(index, docs, most):
+        if len(hits[0]):
+            yield from _enough(index, docs, *hits, under, band)
+
+
+def _enough(index: Index, docs: Texts, pair: np.ndarray, p: np.ndarray, q: np.ndarray, under: float, band: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     # what all keys of a pair cover bounds what those along two diagonals do
     order = np.lexsort((p, pair))
     pair, p, q = pair[order], p[order], q[order]
@@ -322,24 +349,65 @@ def candidates(index: Index, docs: Texts, under: float = UNDER, band: int = 12)
     step = np.minimum(np.diff(p, prepend=0), SPAN)
     step[new] = SPAN
     bound = np.add.reduceat(step, new)
-    ends = np.append(new[1:], len(pair))
-    for k in np.flatnonzero(bound >= under * index.size[pair[new] % len(index.ids)]).tolist():
-        pr, pp, qq = pair[new[k]], p[new[k] : ends[k]], q[new[k] : ends[k]]
-        d, i = int(pr) // len(index.ids), int(pr) % len(index.ids)
-        qq = qq - docs.tok_at[d]
-        diag = (qq - pp) // band
-        chosen = _best_band(diag)
-        if not chosen.all():
-            rest = np.flatnonzero(~chosen)
-            chosen[rest[_best_band(diag[rest])]] = True
-        if _covered(pp[chosen]) >= under * index.size[i]:
-            yield d, i, pp[chosen], qq[chosen]
+    long = np.diff(np.append(new, len(pair)))
+    kept = bound >= under * index.size[pair[new] % len(index.ids)]
+    if not kept.any():
+        return
+    of = np.repeat(np.arange(kept.sum()), long[kept])
+    hits = np.repeat(kept, long)
+    pair, p, q = pair[new][kept], p[hits], q[hits]
+    d, i = pair // len(index.ids), pair % len(index.ids)
+    q = q - docs.tok_at[d][of]
+    diag = (q - p) // band
+    chosen = _best_bands(of, diag)
+    rest = np.flatnonzero(~chosen)
+    if len(rest):
+        chosen[rest[_best_bands(of[rest], diag[rest])]] = True
+    of, p, q = of[chosen], p[chosen], q[chosen]
+    new = np.searchsorted(of, np.arange(len(pair)))
+    step = np.minimum(np.diff(p, prepend=0), SPAN)
+    step[new] = SPAN
+    enough = np.add.reduceat(step, new) >= under * index.size[i]
+    ends = np.append(new[1:], len(of))
+    for k in np.flatnonzero(enough).tolist():
+        yield int(d[k]), int(i[k]), p[new[k] : ends[k]], q[new[k] : ends[k]]
 
 
 def blocks_of(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
-    """Matching runs (position in a, in b, length), ordered in both."""
-    m = SequenceMatcher(None, b, a, autojunk=False)
-    return [(x.b, x.a, x.size) for x in m.get_matching_blocks() if x.size]
+    """Matching runs (position in a, in b, length), ordered in both: those of difflib's SequenceMatcher(None, b, a), but words
+    of b that a doesn't hold are passed over at once."""
+    places: dict[int, list[int]] = {}
+    for i, x in enumerate(a):
+        places.setdefault(x, []).append(i)
+    at = [(j, places[x]) for j, x in enumerate(b) if x in places]
+    where = [j for j, _ in at]
+    found, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        alo, ahi, blo, bhi = todo.pop()
+        size, pa, pb, last, runs = 0, 0, 0, -2, {}
+        for j, ps in at[bisect_left(where, blo) : bisect_left(where, bhi)]:
+            before, runs = runs if j == last + 1 else {}, {}
+            last = j
+            for i in ps:
+                if i >= ahi:
+                    break
+                if i >= alo:
+                    n = runs[i] = before.get(i - 1, 0) + 1
+                    if n > size:
+                        size, pa, pb = n, i - n + 1, j - n + 1
+        if size:
+            found.append((pb, pa, size))
+            if alo < pa and blo < pb:
+                todo.append((alo, pa, blo, pb))
+            if pa + size < ahi and pb + size < bhi:
+                todo.append((pa + size, ahi, pb + size, bhi))
+    out: list[tuple[int, int, int]] = []
+    for pb, pa, n in sorted(found):
+        if out and out[-1][0] + out[-1][2] == pa and out[-1][1] + out[-1][2] == pb:
+            out[-1] = (*out[-1][:2], out[-1][2] + n)
+        else:
+            out.append((pa, pb, n))
+    return out
 
 
 def stretches(a: list[int], blocks: list[tuple[int, int, int]], gap: int = 4) -> list[tuple[int, int, int, int, int]]:
@@ -374,15 +442,23 @@ def followed(a: list[int], b: list[int]) -> int:
     return sum(x[0] for x in _dense(a, blocks_of(a, b)))
 
 
-def pairs_alike(pa: np.ndarray, pb: np.ndarray, shifts: np.ndarray, reach: int = 14) -> int:
-    """How many of an item's pairs of neighbours ``pa`` stand in a text's pairs ``pb``, too, near one of the diagonals ``shifts``
-    (anywhere, where the text is very long: an upper bound)."""
+def _numbered(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places of ``x`` in the sorted ``known``, -1 where it isn't there."""
+    if not len(known):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    return np.where(known[at] == x, at, -1)
+
+
+def pairs_alike(pa: np.ndarray, pb: np.ndarray, at: np.ndarray, shifts: np.ndarray, reach: int = 14) -> int:
+    """How many of an item's pairs of neighbours ``pa`` stand among a text's pairs ``pb`` at the places ``at``, too, near one of the
+    diagonals ``shifts`` (anywhere, where there are very many: an upper bound)."""
     if len(pa) * len(pb) > 4_000_000:
         return int(np.isin(pa, pb).sum())
     i, j = np.nonzero(pa[:, None] == pb[None, :])
     if not len(i):
         return 0
-    d = j - i
+    d = at[j] - i
     s = np.sort(shifts)
     k = np.searchsorted(s, d)
     near = np.minimum(np.abs(s[np.minimum(k, len(s) - 1)] - d), np.abs(s[np.maximum(k - 1, 0)] - d)) <= reach
@@ -428,9 +504,23 @@ def match_texts(index: Index, texts: list[str], vocabulary: Vocabulary, under: f
     docs = read_texts(texts, vocabulary)
     t = index.texts
     pairs, doc_pairs = _mix(t.words[:-1], t.words[1:]), _mix(docs.words[:-1], docs.words[1:])
+    known, pairs = np.unique(pairs, return_inverse=True)
+    doc_pairs = _numbered(known, doc_pairs)
+    held, wanted, marked = np.zeros(len(known), dtype=bool), np.zeros(len(known) + 1, dtype=bool), -1
     for d, i, p, q in candidates(index, docs, under):
         wa, wb = docs.word_at[d], docs.word_at[d + 1]
         a = t.words[t.word_at[i] : t.word_at[i + 1]]
+        # words three in four alike, runs of three between edits, keep two pairs of neighbours of every four words
+        least = 2 / 9 * len(a) - 3
+        own = pairs[t.word_at[i] : t.word_at[i + 1] - 1]
+        if d != marked:
+            held[:], marked = False, d
+            in_doc = doc_pairs[wa : max(wa, wb - 1)]
+            held[in_doc[in_doc >= 0]] = True
+        alike = int(held[own].sum())  # anywhere in the document: at least as many as near the diagonals
+        if least >= 1 and alike < least and _covered(p) < index.size[i] / 3:
+            yield d, index.ids[i], 0.0, 0.0, 1.0, 1.0
+            continue
         words = docs.words[wa:wb]
         shift = (docs.first[q + docs.tok_at[d]] - wa) - (t.first[p + t.tok_at[i]] - t.word_at[i])
         u, cnt = np.unique(shift, return_counts=True)
@@ -441,10 +531,13 @@ def match_texts(index: Index, texts: list[str], vocabulary: Vocabulary, under: f
         size = int(docs.tok_at[d + 1] - docs.tok_at[d])
         region = max(0, int(q.min()) - len(a) - 10), min(size, int(q.max()) + len(a) + 10)
         coverage = 0.0
-        # words three in four alike, runs of three between edits, keep two pairs of neighbours of every four words
-        least = 2 / 9 * len(a) - 3
         lo, hi = docs.first[region[0] + docs.tok_at[d]], docs.first[region[1] - 1 + docs.tok_at[d]] + docs.count[region[1] - 1 + docs.tok_at[d]]
-        if least < 1 or pairs_alike(pairs[t.word_at[i] : t.word_at[i + 1] - 1], doc_pairs[lo : hi - 1], shift - (lo - wa)) >= least:
+        if least >= 1 and alike >= least:
+            wanted[own] = True  # the last place, of -1, is never wanted
+            at = np.flatnonzero(wanted[doc_pairs[lo : hi - 1]])
+            wanted[own] = False
+            alike = pairs_alike(own, doc_pairs[lo + at], at, shift - (lo - wa))
+        if least < 1 or alike >= least:
             lo, hi = lo - wa, hi - wa
             coverage = followed(a.tolist(), words[lo:hi].tolist()) / len(a)
         followed_t, consistency, same = (coverage, 1.0, 1.0)
