@@ -285,9 +285,8 @@ def _best_bands(of: np.ndarray, diag: np.ndarray) -> np.ndarray:
 
 
 def _covered(pos: np.ndarray) -> int:
-    """Template tokens under keys at these positions."""
-    p = np.unique(pos)
-    return int(np.minimum(np.diff(p), SPAN).sum()) + SPAN if len(p) else 0
+    """Template tokens under keys at these positions, which are sorted."""
+    return int(np.minimum(pos[1:] - pos[:-1], SPAN).sum()) + SPAN if len(pos) else 0
 
 
 #: Share of an item's template tokens under keys along two diagonals below which a pair is not aligned: less than half of
